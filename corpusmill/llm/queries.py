@@ -6,17 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import tokens
+from corpusmill.llm import encoding, pieces, tokens
 from corpusmill.session import table
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return pieces.found_rows(table(spark, base, "chunks"), table(spark, base, "chunker_settings"))
+
+
+def p3_pieces(spark: SparkSession, base: str) -> DataFrame:
+    return pieces.all_pieces(table(spark, base, "chunks"), table(spark, base, "chunker_settings"))
+
+
+P3_SQL = """
+WITH d AS (SELECT max(chunk_size) s, max(chunk_overlap) o FROM chunker_settings WHERE file_type = 'default'),
+c AS (SELECT k.row_id, k.source, k.item_id, k.ordinal, k.content, coalesce(t.chunk_size, d.s) s, coalesce(t.chunk_overlap, d.o) o
+      FROM chunks k LEFT JOIN chunker_settings t ON t.file_type = k.file_type CROSS JOIN d)
+SELECT DISTINCT row_id, 'oversized' AS fault FROM c WHERE length(content) > s
+UNION
+SELECT DISTINCT c.row_id, 'overlap' AS fault FROM c JOIN chunks p
+  ON p.source = c.source AND p.item_id = c.item_id AND p.ordinal = c.ordinal - 1
+WHERE c.o > 0 AND substr(c.content, 1, c.o) <> (CASE WHEN length(p.content) <= c.o THEN p.content ELSE substr(p.content, length(p.content) - c.o + 1) END)
+"""
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return encoding.found_rows(table(spark, base, "chunks"))
+
+
+def p4_restored(spark: SparkSession, base: str) -> DataFrame:
+    """The affected values and what they were."""
+    return encoding.repaired_values(table(spark, base, "chunks"), "row_id", ["content", "title"])
+
+
 def p7_ids(spark: SparkSession, base: str) -> DataFrame:
     return tokens.encode_table(table(spark, base, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids}
+    return {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3_SQL}
