@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import encoding, pieces, tokens
+from corpusmill.llm import encoding, lookalikes, pieces, tokens
 from corpusmill.session import table
 
 
+def _p1_tables(spark: SparkSession, base: str) -> list[tuple[DataFrame, str, str, str]]:
+    chunks, requests = table(spark, base, "chunks"), table(spark, base, "search_requests")
+    return [(chunks, "row_id", "content", "content"), (chunks, "row_id", "title", "title"), (requests, "request_id", "query", "query")]
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    return lookalikes.found_rows(_p1_tables(spark, base))
+
+
+def p1_normalized(spark: SparkSession, base: str) -> DataFrame:
+    return lookalikes.normalized(_p1_tables(spark, base))
+
+
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return pieces.found_rows(table(spark, base, "chunks"), table(spark, base, "chunker_settings"))
 
@@ -44,8 +57,8 @@ def p7_ids(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL}
+    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p3_found": P3_SQL}
