@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+from corpusmill.plans import increment
+
+
 def flagship(spark: SparkSession, base: str) -> DataFrame:
     raise NotImplementedError
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p6_found": increment.p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_found": increment.P6_SQL}
