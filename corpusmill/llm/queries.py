@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import encoding, lookalikes, pieces, tokens
+from corpusmill.llm import encoding, lookalikes, pieces, residue, tokens
 from corpusmill.session import table
 
 
@@ -56,8 +56,16 @@ def p7_ids(spark: SparkSession, base: str) -> DataFrame:
     return tokens.encode_table(table(spark, base, "documents"))
 
 
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return residue.found_rows(table(spark, base, "documents"))
+
+
+def p9_kept(spark: SparkSession, base: str) -> DataFrame:
+    return residue.kept_rows(table(spark, base, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p7_ids": p7_ids, "p9_found": p9_found, "p9_kept": p9_kept}
 
 
 def oracle_sql() -> dict[str, str]:
