@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import encoding, lookalikes, pieces, residue, tokens
+from corpusmill.llm import encoding, lookalikes, markup, pieces, residue, tokens
 from corpusmill.session import table
 
 
@@ -23,6 +23,19 @@ def p1_normalized(spark: SparkSession, base: str) -> DataFrame:
     return lookalikes.normalized(_p1_tables(spark, base))
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return markup.found_rows(table(spark, base, "chunks"))
+
+
+def p2_cleaned(spark: SparkSession, base: str) -> DataFrame:
+    return markup.cleaned(table(spark, base, "chunks"))
+
+
+def p2_wrappers(spark: SparkSession, base: str) -> DataFrame:
+    """The inferred wrapper of each host."""
+    return markup.wrappers(table(spark, base, "chunks"))
+
+
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return pieces.found_rows(table(spark, base, "chunks"), table(spark, base, "chunker_settings"))
 
@@ -65,7 +78,7 @@ def p9_kept(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p7_ids": p7_ids, "p9_found": p9_found, "p9_kept": p9_kept}
+    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p2_wrappers": p2_wrappers, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p7_ids": p7_ids, "p9_found": p9_found, "p9_kept": p9_kept}
 
 
 def oracle_sql() -> dict[str, str]:
