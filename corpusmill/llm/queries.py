@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import encoding, lookalikes, markup, pieces, residue, tokens
+from corpusmill.llm import encoding, lookalikes, markup, nearcopies, pieces, residue, tokens
 from corpusmill.session import table
 
 
@@ -65,6 +65,15 @@ def p4_restored(spark: SparkSession, base: str) -> DataFrame:
     return encoding.repaired_values(table(spark, base, "chunks"), "row_id", ["content", "title"])
 
 
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return nearcopies.found_rows(table(spark, base, "chunks"))
+
+
+def p5_groups(spark: SparkSession, base: str) -> DataFrame:
+    """Each near-duplicate or copied text with its group and its number of links."""
+    return nearcopies.groups(table(spark, base, "chunks"))
+
+
 def p7_ids(spark: SparkSession, base: str) -> DataFrame:
     return tokens.encode_table(table(spark, base, "documents"))
 
@@ -78,7 +87,7 @@ def p9_kept(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p2_wrappers": p2_wrappers, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p7_ids": p7_ids, "p9_found": p9_found, "p9_kept": p9_kept}
+    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p2_wrappers": p2_wrappers, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p9_found": p9_found, "p9_kept": p9_kept}
 
 
 def oracle_sql() -> dict[str, str]:
