@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import encoding, lookalikes, markup, nearcopies, pieces, residue, tokens
+from corpusmill.llm import encoding, lookalikes, markup, mixing, nearcopies, pieces, residue, tokens
 from corpusmill.session import table
 
 
@@ -78,6 +78,14 @@ def p7_ids(spark: SparkSession, base: str) -> DataFrame:
     return tokens.encode_table(table(spark, base, "documents"))
 
 
+def p8_mix(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.mix(mixing.sizes_of(table(spark, base, "documents")), table(spark, base, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.shares(mixing.sizes_of(table(spark, base, "documents")), table(spark, base, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return residue.found_rows(table(spark, base, "documents"))
 
@@ -87,7 +95,7 @@ def p9_kept(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p2_wrappers": p2_wrappers, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p9_found": p9_found, "p9_kept": p9_kept}
+    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p2_wrappers": p2_wrappers, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_kept": p9_kept}
 
 
 def oracle_sql() -> dict[str, str]:
