@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from math import comb
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.session import settle
@@ -31,7 +31,7 @@ from corpusmill.session import settle
 #: Words of a sequence, least words of a member, least similarity: the values of the stated query.
 ADJACENT, MIN_WORDS, SIMILAR = 3, 80, 0.6
 #: Radius covered within a block, and independent blocks.
-RADIUS, BLOCKS = 2, 8
+RADIUS, BLOCKS = 2, 7
 WORD = re.compile("[㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]|[^\\W_㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]+")
 SEED = 20240229
 
@@ -61,8 +61,6 @@ class Sketcher:
         self.add = rng.integers(0, 1 << 63, size=self.symbols, dtype=np.uint64)[:, None]
         self.mix = rng.integers(1, 1 << 63, size=adjacent, dtype=np.uint64) | np.uint64(1)
         n = 2 ** (radius + 1) - 1
-        self.keep = np.array([[b * n + i for i in keep] for b in range(blocks) for keep in masks(radius)])
-        self.table = rng.integers(1, 1 << 63, size=self.keep.shape, dtype=np.uint64) | np.uint64(1)
         self.words: dict[str, int] = {}
 
     def words_of(self, text: str) -> list[str]:
@@ -90,21 +88,26 @@ class Sketcher:
             h ^= h >> np.uint64(29)
         return np.unique(h)
 
-    def keys(self, shingles):
-        """The key of each table: the signature under the table's mask, with the number of the table mixed in."""
+    def signature(self, shingles):
+        """The minimum of each random hash over the sequences, 32 bits of each."""
         np = self.np
         low = np.full(self.symbols, np.iinfo(np.uint64).max, dtype=np.uint64)
         for i in range(0, len(shingles), 4096):  # bounded memory for very long texts
             x = shingles[None, i : i + 4096] * self.mul + self.add
             x ^= x >> np.uint64(31)
             low = np.minimum(low, (x * self.mul).min(axis=1))
-        k = (low[self.keep] * self.table).sum(axis=1, dtype=np.uint64)
-        k ^= k >> np.uint64(32)
-        return (k * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(k), dtype=np.uint64)).view(np.int64)
+        return ((low ^ (low >> np.uint64(29))) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
+def table_keys(signature: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> Column:
+    """The key of each table: the symbols that the table's mask keeps, with the table's number."""
+    n = 2 ** (radius + 1) - 1
+    symbol = lambda i: F.element_at(signature, i + 1)
+    return F.array(*[F.xxhash64(F.lit(b * n + t), *[symbol(b * n + i) for i in keep]) for b in range(blocks) for t, keep in enumerate(masks(radius))])
 
 
 def signatures(chunks: DataFrame, adjacent: int = ADJACENT, min_words: int = MIN_WORDS, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(row_id, item_id, set1, set2, keys) of the members; set1 and set2 name the set of sequences by 128 bits."""
+    """(row_id, item, set1, set2, signature) of the members; set1 and set2 name the set of sequences by 128 bits, item the item_id by 64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -112,7 +115,7 @@ def signatures(chunks: DataFrame, adjacent: int = ADJACENT, min_words: int = MIN
 
         s = Sketcher(adjacent, radius, blocks)
         for b in batches:
-            at, one, two, keys = [], [], [], []
+            at, one, two, signed = [], [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):
                 words = s.words_of(t)
                 if len(words) < min_words:
@@ -122,17 +125,16 @@ def signatures(chunks: DataFrame, adjacent: int = ADJACENT, min_words: int = MIN
                 at.append(i)
                 one.append(d >> 64)
                 two.append(d & ((1 << 64) - 1))
-                keys.append(s.keys(h))
+                signed.append(s.signature(h))
             part = b.take(pa.array(at, pa.int64()))
-            n = len(keys[0]) if keys else 0
-            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * n), flat)
+            flat = pa.array(np.concatenate(signed) if signed else np.empty(0, np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * s.symbols), flat)
             sets = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (one, two)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *sets, lists], names=["row_id", "item_id", "set1", "set2", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *sets, lists], names=["row_id", "item", "set1", "set2", "signature"])
 
-    rows = chunks.select("row_id", "item_id", "content").where(F.length("content") >= min_words)
-    kinds = {c: chunks.schema[c].dataType.simpleString() for c in ("row_id", "item_id")}
-    return rows.mapInArrow(run, f"row_id {kinds['row_id']}, item_id {kinds['item_id']}, set1 bigint, set2 bigint, keys array<bigint>")
+    item = F.when(F.col("item_id").isNotNull(), F.xxhash64("item_id"))
+    rows = chunks.select("row_id", item.alias("item"), "content").where(F.length("content") >= min_words)
+    return rows.mapInArrow(run, f"row_id {chunks.schema['row_id'].dataType.simpleString()}, item bigint, set1 bigint, set2 bigint, signature array<int>")
 
 
 def shingle_sets(chunks: DataFrame, adjacent: int = ADJACENT) -> DataFrame:
@@ -152,14 +154,15 @@ def shingle_sets(chunks: DataFrame, adjacent: int = ADJACENT) -> DataFrame:
 
 
 def similar_sets(chunks: DataFrame, least: float = SIMILAR, adjacent: int = ADJACENT, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Members (row_id, item_id, rep) and pairs (a, b, similarity) of representatives of different sets, a < b."""
+    """Members (row_id, item, rep) and pairs (a, b, similarity) of representatives of different sets, a < b."""
     signed = settle(signatures(chunks, adjacent, min_words))
-    groups = signed.groupBy("set1", "set2").agg(F.min("row_id").alias("rep"), F.min("keys").alias("keys"))
-    groups = settle(groups)
-    members = signed.select("row_id", "item_id", "set1", "set2").join(groups.select("set1", "set2", "rep"), ["set1", "set2"]).select("row_id", "item_id", "rep")
-    entry = groups.select(F.explode("keys").alias("key"), "rep")
-    # Most keys have one text; only shared ones are joined with themselves.
-    shared = settle(entry.join(entry.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi"))
+    reps = settle(signed.groupBy("set1", "set2").agg(F.min("row_id").alias("rep")))
+    members = signed.select("row_id", "item", "set1", "set2").join(reps, ["set1", "set2"]).select("row_id", "item", "rep")
+    own = signed.select(F.col("row_id").alias("rep"), "signature").join(reps.select("rep"), "rep", "left_semi")
+    entry = own.select(F.explode(table_keys(F.col("signature"))).alias("key"), "rep")
+    # Most keys have one text; only shared ones are kept, and those are joined with themselves.
+    shared = entry.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
+    shared = settle(shared)
     found = shared.select("key", F.col("rep").alias("a")).join(shared.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b").distinct()
     found = settle(found)
     ends = found.select(F.col("a").alias("row_id")).union(found.select("b")).distinct()
@@ -173,14 +176,14 @@ def similar_sets(chunks: DataFrame, least: float = SIMILAR, adjacent: int = ADJA
 def found_rows(chunks: DataFrame, least: float = SIMILAR, adjacent: int = ADJACENT, min_words: int = MIN_WORDS) -> DataFrame:
     """Distinct pairs (row_id_a, row_id_b) of rows of different items."""
     members, pairs = similar_sets(chunks, least, adjacent, min_words)
-    members = members.select("rep", F.struct("row_id", "item_id").alias("m"))
+    members = members.select("rep", F.struct("row_id", "item").alias("m"))
     x, y = members.select(F.col("rep").alias("a"), F.col("m").alias("x")), members.select(F.col("rep").alias("b"), F.col("m").alias("y"))
     between = pairs.select("a", "b").join(x, "a").join(y, "b").select("x", "y")
     # Copies: only groups with rows of two items have pairs.
-    several = members.groupBy("rep").agg(F.min("m.item_id").alias("lo"), F.max("m.item_id").alias("hi"), F.count("m.item_id").alias("k"), F.count(F.lit(1)).alias("n"))
+    several = members.groupBy("rep").agg(F.min("m.item").alias("lo"), F.max("m.item").alias("hi"), F.count("m.item").alias("k"), F.count(F.lit(1)).alias("n"))
     several = several.where("n > 1 and (lo != hi or (k > 0 and k < n))").select(F.col("rep").alias("a"))
     copies = x.join(several, "a", "left_semi").join(y, F.col("a") == F.col("b")).where("x.row_id < y.row_id").select("x", "y")
-    every = between.union(copies).where(~F.col("x.item_id").eqNullSafe(F.col("y.item_id")))
+    every = between.union(copies).where(~F.col("x.item").eqNullSafe(F.col("y.item")))
     return every.select(F.least("x.row_id", "y.row_id").alias("row_id_a"), F.greatest("x.row_id", "y.row_id").alias("row_id_b")).distinct()
 
 
