@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import keys, text
+from corpusmill.schema import CHUNK
 
 
 def analyzed(chunks: DataFrame) -> DataFrame:
@@ -40,6 +41,15 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return doc_stats(chunks).groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.col("title_len") + F.col("content_len")).alias("avg_len"))
 
 
+#: Schemas of the stored tables, so that an empty index can be read as well.
+STORED = {
+    "chunks": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CHUNK) + ", shard int",
+    "postings": "token string, row_id bigint, col int, tf int, positions array<int>, shard int",
+    "grams": "token string, row_id bigint, shard int",
+    "stats": "shard int, n_docs bigint, avg_len double",
+}
+
+
 class Index:
     """Chunks, postings and statistics in versioned folders; a pointer names the current version, so readers never see a half-written one."""
 
@@ -72,7 +82,7 @@ class Index:
         out = f"{self.path}/v{(known or [0])[-1] + 1}"
         by_shard = chunks.withColumn("shard", keys.rowid_shard(F.col("row_id")))
         by_shard.repartition("shard", F.pmod(F.xxhash64("row_id"), F.lit(16))).write.mode("overwrite").partitionBy("shard").parquet(f"{out}/chunks")
-        stored = self.spark.read.parquet(f"{out}/chunks").drop("shard")
+        stored = self.spark.read.schema(STORED["chunks"]).parquet(f"{out}/chunks").drop("shard")
         # Sorted by term, row groups hold few terms and a search reads only those of its own.
         postings(stored).repartitionByRange("shard", "token").sortWithinPartitions("shard", "token", "row_id").write.mode("overwrite").partitionBy("shard").parquet(f"{out}/postings")
         gram_postings(stored).repartitionByRange("shard", "token").sortWithinPartitions("shard", "token", "row_id").write.mode("overwrite").partitionBy("shard").parquet(f"{out}/grams")
@@ -88,7 +98,7 @@ class Index:
         at = self.current()
         if at is None:
             raise FileNotFoundError(f"no index in {self.path}")
-        return self.spark.read.parquet(f"{at}/{name}")
+        return self.spark.read.schema(STORED[name]).parquet(f"{at}/{name}")
 
     def chunks(self) -> DataFrame:
         return self.table("chunks").drop("shard")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions import keys, text
+from corpusmill.schema import CANDIDATE
+from corpusmill.session import settle
 
 # What a walk leaves out and what it reads as text.
 SKIPPED_DIRECTORIES = (
@@ -70,20 +72,52 @@ def rich_type(path: Column) -> Column:
     return text.extension(path).isin(*RICH_TYPES)
 
 
-def list_files(spark: SparkSession, root: str, glob: str | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Candidates below `root` (or `root` itself, if it is a file): path, size, mod_time_ns, is_dir; contents aren't read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    listed = reader.load(root).select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.col("length").alias("size"), "modificationTime")
-    ns = F.unix_micros("modificationTime") * 1000
-    files = listed.where(F.col("size") <= max_bytes).select("path", "size", ns.alias("mod_time_ns"), F.lit(False).alias("is_dir"))
-    base = root.removeprefix("file://").rstrip("/")
-    parts = F.split(F.expr(f"substring(path, {len(base) + 2})"), "/")
-    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.concat_ws("/", F.lit(base), F.array_join(F.slice(parts, 1, k), "/")))
-    nested = listed.where(F.col("path").startswith(base + "/")).where(F.size(parts) > 1)
-    directories = nested.select(F.explode(above).alias("path")).distinct().select("path", F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("mod_time_ns"), F.lit(True).alias("is_dir"))
-    return files.unionByName(directories)
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What stands in each directory; links are left out, unreadable directories are empty."""
+    import os
+
+    for pdf in batches:
+        rows = []
+        for d in pdf["path"]:
+            try:
+                with os.scandir(d) as found:
+                    for e in found:
+                        if e.is_symlink():
+                            continue
+                        s = e.stat(follow_symlinks=False)
+                        folder = e.is_dir(follow_symlinks=False)
+                        rows.append((e.path, None if folder else s.st_size, s.st_mtime_ns, folder))
+            except OSError:
+                continue
+        yield pd.DataFrame(rows, columns=["path", "size", "mod_time_ns", "is_dir"]).astype({"size": "Int64", "mod_time_ns": "Int64", "is_dir": bool})
+
+
+def list_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, prune: bool = False) -> DataFrame:
+    """Candidates below `root` (or `root` itself, if it is a file): path, size, mod_time_ns, is_dir.
+
+    Level by level: the directories of a level are listed by all tasks at once. With `prune`, directories that a walk leaves out aren't entered.
+    The folder must be one that every executor sees.
+    """
+    import os
+
+    base = root.removeprefix("file://").rstrip("/") or "/"
+    if not os.path.isdir(base):
+        rows = []
+        if os.path.isfile(base) and not os.path.islink(base):
+            s = os.stat(base)
+            rows = [(base, s.st_size, s.st_mtime_ns, False)]
+        return spark.createDataFrame(rows, CANDIDATE).where(F.col("size") <= max_bytes)
+    level = spark.createDataFrame([(base,)], "path string")
+    out = spark.createDataFrame([], CANDIDATE)
+    while True:
+        spread = level.repartition(F.xxhash64("path"))
+        found = settle(spread.mapInPandas(_entries, CANDIDATE))
+        if prune:
+            found = admitted_below(found, base, max_bytes)
+        out = out.unionByName(found.where(F.col("is_dir") | (F.col("size") <= max_bytes)))
+        level = found.where("is_dir").select("path")
+        if level.isEmpty():
+            return out
 
 
 def admitted(candidates: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -92,6 +126,13 @@ def admitted(candidates: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return candidates.where(own & ~below_skipped(F.col("path")))
 
 
+def admitted_below(candidates: DataFrame, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """As `admitted`, for a root given by hand: neither it nor what is above it is judged."""
+    base = root.removeprefix("file://").rstrip("/")
+    inner = F.when(F.col("path").startswith(base + "/"), F.expr(f"substring(path, {len(base) + 1})")).otherwise(F.concat(F.lit("/"), text.base_name(F.col("path"))))
+    return admitted(candidates.withColumn("__whole", F.col("path")).withColumn("path", inner), max_bytes).drop("path").withColumnRenamed("__whole", "path").select(*candidates.columns)
+
+
 def read_texts(spark: SparkSession, root: str, max_bytes: int = FOREGROUND_BYTES, extractor: Callable[[str, bytes], str | None] | None = None) -> DataFrame:
     """(path, size, mod_time_ns, content) of text files within `max_bytes`; invalid bytes are left out. `extractor` turns rich files into text."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
