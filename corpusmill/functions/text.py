@@ -32,6 +32,11 @@ def _folding() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _folding()
 
 
+def lower(c: Column) -> Column:
+    """Lower case, one letter at a time: the last sigma of a word is no other letter."""
+    return F.lower(F.translate(c, "\u03a3", "\u03c3"))
+
+
 def trim_space(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
@@ -50,7 +55,7 @@ def preview(c: Column, limit: int = PREVIEW) -> Column:
 
 def rank_text(c: Column) -> Column:
     """Lower case, words separated by one space."""
-    return trim_space(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"[{SPACE}]+", " "))
+    return trim_space(F.regexp_replace(lower(F.coalesce(c, F.lit(""))), f"[{SPACE}]+", " "))
 
 
 def slashed(c: Column) -> Column:
@@ -60,7 +65,7 @@ def slashed(c: Column) -> Column:
 def normal_path(c: Column) -> Column:
     """Lower-cased path with slashes; doubled slashes and inner "." steps fold, a trailing slash goes."""
     p = F.regexp_replace(F.regexp_replace(slashed(F.coalesce(c, F.lit(""))), "/(?:\\./)+", "/"), "(?<=.)/+", "/")
-    return F.lower(F.regexp_replace(p, "(?<=.)/$", ""))
+    return lower(F.regexp_replace(p, "(?<=.)/$", ""))
 
 
 def base_name(c: Column) -> Column:
@@ -69,7 +74,7 @@ def base_name(c: Column) -> Column:
 
 def extension(c: Column) -> Column:
     """Lower-case extension of the last path part without its dot; empty if there is none."""
-    return F.lower(F.regexp_extract(base_name(c), r"\.([^.]*)$", 1))
+    return lower(F.regexp_extract(base_name(c), r"\.([^.]*)$", 1))
 
 
 def name_words(c: Column) -> Column:
@@ -83,7 +88,7 @@ def path_only_content(title: Column, path: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Case and diacritics folded for terms."""
-    return F.translate(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[\x{300}-\x{36F}]", ""), FOLD_FROM, FOLD_TO)
+    return F.translate(F.regexp_replace(lower(F.coalesce(c, F.lit(""))), r"[\x{300}-\x{36F}]", ""), FOLD_FROM, FOLD_TO)
 
 
 def terms(c: Column) -> Column:
@@ -113,7 +118,7 @@ def snippet(preview_: Column, query: str, limit: int = PREVIEW, lead: int = SNIP
     text = F.coalesce(preview_, F.lit(""))
     at = F.lit(0)
     for w in reversed([w for w in words if w]):
-        here = F.instr(F.lower(text), w.lower())
+        here = F.instr(lower(text), w.lower())
         at = F.when(here > 0, here).otherwise(at)
     start = F.greatest(at - 1 - lead, F.lit(0))
     end = F.least(start + limit, F.length(text))

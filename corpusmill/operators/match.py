@@ -21,34 +21,47 @@ WEIGHTS = {"title": 8.0, "content": 1.0}
 LEAST_IDF = 1e-6
 
 
+def _at(tokens: Column, word: str, prefix: bool) -> Column:
+    """Positions of a term."""
+
+    def same(t: Column) -> Column:
+        return t.startswith(F.lit(word)) if prefix else t == F.lit(word)
+
+    return F.filter(F.transform(tokens, lambda t, i: F.when(same(t), i)), lambda p: p.isNotNull())
+
+
+def _followed(hits: Column, later: Column, k: int) -> Column:
+    return F.filter(hits, lambda p: F.array_contains(later, p + F.lit(k)))
+
+
 def starts(tokens: Column, phrase: Phrase) -> Column:
     """Positions at which the phrase begins."""
+    last = len(phrase.terms) - 1
+    out = _at(tokens, phrase.terms[0], phrase.prefix and last == 0)
+    for k in range(1, last + 1):
+        out = _followed(out, _at(tokens, phrase.terms[k], phrase.prefix and k == last), k)
+    return F.filter(out, lambda p: p == 0) if phrase.first else out
 
-    def at(k: int) -> Column:
-        word, last = phrase.terms[k], k == len(phrase.terms) - 1
-        same = (lambda t: t.startswith(word)) if phrase.prefix and last else (lambda t: t == F.lit(word))
-        return F.filter(F.transform(tokens, lambda t, i: F.when(same(t), i)), lambda p: p.isNotNull())
 
-    out = at(0)
-    for k in range(1, len(phrase.terms)):
-        later = at(k)
-        out = F.filter(out, lambda p, later=later, k=k: F.array_contains(later, p + F.lit(k)))
-    return F.filter(out, lambda p: p == 0) if phrase.first else out
+def _close(hits: Column, other: Column, length: int, other_length: int, gap: int) -> Column:
+    """Those of the hits that have one of the other phrase with at most `gap` terms between."""
+
+    def near(p: Column) -> Column:
+        return F.exists(other, lambda q: F.when(q > p, q - p - F.lit(length)).otherwise(p - q - F.lit(other_length)) <= F.lit(gap))
+
+    return F.filter(hits, near)
 
 
 def near_starts(tokens: Column, group: Near) -> list[Column]:
     """For each phrase of the group, its hits that have every other phrase within the gap."""
     hits = [starts(tokens, p) for p in group.phrases]
-
-    def close(i: int, p: Column) -> Column:
-        tests = []
+    out = []
+    for i, h in enumerate(hits):
         for j, other in enumerate(hits):
             if j != i:
-                a, b = len(group.phrases[i].terms), len(group.phrases[j].terms)
-                tests.append(F.exists(other, lambda q, a=a, b=b: F.when(q > p, q - p - a).otherwise(p - q - b) <= group.gap))
-        return reduce(lambda x, y: x & y, tests, F.lit(True))
-
-    return [F.filter(h, lambda p, i=i: close(i, p)) for i, h in enumerate(hits)]
+                h = _close(h, other, len(group.phrases[i].terms), len(group.phrases[j].terms), group.gap)
+        out.append(h)
+    return out
 
 
 class Matcher:

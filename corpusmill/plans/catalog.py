@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-from corpusmill.plans import increment
+from corpusmill.plans import core, increment
 
 
 def flagship(spark: SparkSession, base: str) -> DataFrame:
-    raise NotImplementedError
+    """A search from chunks to a ranked page."""
+    return core.rank_full(spark, base)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": increment.p6_found}
+    return core.QUERIES | {"p6_found": increment.p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": increment.P6_SQL}
+    return core.SQL | {"p6_found": increment.P6_SQL}
