@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import encoding, lookalikes, markup, mixing, nearcopies, pieces, residue, tokens
-from corpusmill.session import table
+from corpusmill.session import table, texts
 
 
 def _p1_tables(spark: SparkSession, base: str) -> list[tuple[DataFrame, str, str, str]]:
-    chunks, requests = table(spark, base, "chunks"), table(spark, base, "search_requests")
+    chunks, requests = texts(spark, base, "chunks"), table(spark, base, "search_requests")
     return [(chunks, "row_id", "content", "content"), (chunks, "row_id", "title", "title"), (requests, "request_id", "query", "query")]
 
 
@@ -24,24 +24,24 @@ def p1_normalized(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    return markup.found_rows(table(spark, base, "chunks"))
+    return markup.found_rows(texts(spark, base, "chunks"))
 
 
 def p2_cleaned(spark: SparkSession, base: str) -> DataFrame:
-    return markup.cleaned(table(spark, base, "chunks"))
+    return markup.cleaned(texts(spark, base, "chunks"))
 
 
 def p2_wrappers(spark: SparkSession, base: str) -> DataFrame:
     """The inferred wrapper of each host."""
-    return markup.wrappers(table(spark, base, "chunks"))
+    return markup.wrappers(texts(spark, base, "chunks"))
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
-    return pieces.found_rows(table(spark, base, "chunks"), table(spark, base, "chunker_settings"))
+    return pieces.found_rows(texts(spark, base, "chunks"), table(spark, base, "chunker_settings"))
 
 
 def p3_pieces(spark: SparkSession, base: str) -> DataFrame:
-    return pieces.all_pieces(table(spark, base, "chunks"), table(spark, base, "chunker_settings"))
+    return pieces.all_pieces(texts(spark, base, "chunks"), table(spark, base, "chunker_settings"))
 
 
 P3_SQL = """
@@ -57,41 +57,41 @@ WHERE c.o > 0 AND substr(c.content, 1, c.o) <> (CASE WHEN length(p.content) <= c
 
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
-    return encoding.found_rows(table(spark, base, "chunks"))
+    return encoding.found_rows(texts(spark, base, "chunks"))
 
 
 def p4_restored(spark: SparkSession, base: str) -> DataFrame:
     """The affected values and what they were."""
-    return encoding.repaired_values(table(spark, base, "chunks"), "row_id", ["content", "title"])
+    return encoding.repaired_values(texts(spark, base, "chunks"), "row_id", ["content", "title"])
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
-    return nearcopies.found_rows(table(spark, base, "chunks"))
+    return nearcopies.found_rows(texts(spark, base, "chunks"))
 
 
 def p5_groups(spark: SparkSession, base: str) -> DataFrame:
     """Each near-duplicate or copied text with its group and its number of links."""
-    return nearcopies.groups(table(spark, base, "chunks"))
+    return nearcopies.groups(texts(spark, base, "chunks"))
 
 
 def p7_ids(spark: SparkSession, base: str) -> DataFrame:
-    return tokens.encode_table(table(spark, base, "documents"))
+    return tokens.encode_table(texts(spark, base, "documents"))
 
 
 def p8_mix(spark: SparkSession, base: str) -> DataFrame:
-    return mixing.mix(mixing.sizes_of(table(spark, base, "documents")), table(spark, base, "mix_targets"))
+    return mixing.mix(mixing.sizes_of(texts(spark, base, "documents")), table(spark, base, "mix_targets"))
 
 
 def p8_shares(spark: SparkSession, base: str) -> DataFrame:
-    return mixing.shares(mixing.sizes_of(table(spark, base, "documents")), table(spark, base, "mix_targets"))
+    return mixing.shares(mixing.sizes_of(texts(spark, base, "documents")), table(spark, base, "mix_targets"))
 
 
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
-    return residue.found_rows(table(spark, base, "documents"))
+    return residue.found_rows(texts(spark, base, "documents"))
 
 
 def p9_kept(spark: SparkSession, base: str) -> DataFrame:
-    return residue.kept_rows(table(spark, base, "documents"))
+    return residue.kept_rows(texts(spark, base, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
