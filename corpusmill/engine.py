@@ -49,11 +49,12 @@ class IndexProgress:
     rate: float = 0.0
 
 
-def candidates(chunks: DataFrame, request: SearchRequest, scope: str = "shard") -> DataFrame:
+def candidates(chunks: DataFrame, request: SearchRequest, scope: str = "shard", stored: index.Index | None = None) -> DataFrame:
     """Scored candidates of the main index: the best of each shard."""
     _, _, k = match.limits(request.limit, request.offset)
     tree = query.parse(query.rewrite(request.query))
-    hit = match.filtered(match.scored(chunks, tree, scope), request.source, request.file_type, request.since, request.until)
+    tables = (stored.table("postings"), stored.table("stats")) if stored else (None, None)
+    hit = match.filtered(match.scored(chunks, tree, scope, *tables), request.source, request.file_type, request.since, request.until)
     return match.shard_top(hit, k)
 
 
@@ -76,14 +77,14 @@ def results(found: DataFrame, request: SearchRequest, now: int) -> DataFrame:
     return page.select("rank", *[f.name for f in schema.RESULT])
 
 
-def search(chunks: DataFrame, request: SearchRequest, now: int, scope: str = "shard") -> DataFrame:
+def search(chunks: DataFrame, request: SearchRequest, now: int, scope: str = "shard", stored: index.Index | None = None) -> DataFrame:
     """One page of results as a DataFrame; ideographs are looked for in the gram index first."""
     if not request.query.strip():
         return results(match.scored(chunks, None), request, now)
     grams = gram_candidates(chunks, request)
     if grams is not None and not grams.isEmpty():
         return results(grams, request, now)
-    return results(candidates(chunks, request, scope), request, now)
+    return results(candidates(chunks, request, scope, stored), request, now)
 
 
 class Engine:
@@ -124,7 +125,7 @@ class Engine:
             self.spark.addTag(f"{self._tag}-search")
             try:
                 wanted = SearchRequest(**(asdict(request) | {"limit": min(limit + 1, 200), "offset": offset}))
-                rows = [r.asDict() for r in search(self.chunks(), wanted, now or int(time.time())).orderBy("rank").collect()]  # one page
+                rows = [r.asDict() for r in search(self.chunks(), wanted, now or int(time.time()), stored=self.index).orderBy("rank").collect()]  # one page
             finally:
                 self.spark.removeTag(f"{self._tag}-search")
             out.results, out.has_more = rows[:limit], len(rows) > limit

@@ -12,14 +12,20 @@ SIZE, OVERLAP, LOOK_BACK = 1024, 100, 220
 BOUNDARY = r"\n.!?;:。！？；："
 
 
+def trimmed(content: Column, stream: bool = False) -> Column:
+    """The text to be cut; null becomes empty."""
+    whole = F.coalesce(content, F.lit(""))
+    return F.regexp_replace(whole, f"[{text.SPACE}]+$", "") if stream else text.trim_space(whole)
+
+
 def chunk_column(content: Column, size: int = SIZE, overlap: int = OVERLAP, stream: bool = False) -> Column:
     """array<struct<ordinal int, content string>> of a text.
 
     A piece ends at the last boundary of the stretch before `size`, or at `size`; the next starts `overlap` before that end.
     Blank pieces are left out; they use up an ordinal, unless `stream`, which also keeps leading white space in place.
+    `content` is looked at once per piece: give a column that `trimmed` made, not an expression.
     """
-    whole = F.coalesce(content, F.lit(""))
-    whole = F.regexp_replace(whole, f"[{text.SPACE}]+$", "") if stream else text.trim_space(whole)
+    whole = content
     reach = min(LOOK_BACK, size - size // 2)
     step = max(1, size // 2 - overlap, size - reach - overlap)
     state = "struct<start:int,ordinal:int,done:boolean,out:array<struct<ordinal:int,content:string>>>"
@@ -50,7 +56,8 @@ def split_items(items, key: str = "id", content: str = "content", stream: bool =
     """Chunks of items (id, source, title, content, ...): ordinal, chunk_id, hash and preview added."""
     from corpusmill.functions import keys
 
-    rows = items.withColumn("__piece", F.explode(chunk_column(F.col(content), stream=stream))).drop(content)
+    rows = items.withColumn("__whole", trimmed(F.col(content), stream)).drop(content)
+    rows = rows.withColumn("__piece", F.explode(chunk_column(F.col("__whole"), stream=stream))).drop("__whole")
     rows = rows.withColumn("ordinal", F.col("__piece.ordinal")).withColumn("content", F.col("__piece.content")).drop("__piece")
     rows = rows.withColumn("hash", keys.text_hash(F.col("content"))).withColumn("preview", text.preview(F.col("content")))
     return rows.withColumn("chunk_id", keys.chunk_id(F.col("source"), F.col(key).cast("string"), F.col("ordinal"), F.col("hash")))

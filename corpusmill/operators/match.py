@@ -119,14 +119,40 @@ def bm25(f: Column, length: Column, mean: Column) -> Column:
     return f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
 
 
-def scored(chunks: DataFrame, tree, scope: str = "shard") -> DataFrame:
-    """Matching chunks with their score; lower is better. Statistics are those of the row's shard or of all rows."""
+def every_phrase(node) -> list[Phrase]:
+    if isinstance(node, Phrase):
+        return [node] if node.terms else []
+    return [p for n in (node.phrases if isinstance(node, Near) else node.parts) for p in every_phrase(n)]
+
+
+def with_terms(chunks: DataFrame, postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """Chunks that hold the first term of any of the phrases; only the postings of these terms are read."""
+    tests = []
+    for p in phrases:
+        one = len(p.terms) == 1 and p.prefix
+        tests.append(F.col("token").startswith(p.terms[0]) if one else F.col("token") == p.terms[0])
+    ids = postings.where(reduce(lambda x, y: x | y, tests, F.lit(False))).select("row_id").distinct()
+    return chunks.join(ids, "row_id", "left_semi")
+
+
+def scored(chunks: DataFrame, tree, scope: str = "shard", postings: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """Matching chunks with their score; lower is better. Statistics are those of the row's shard or of all rows.
+
+    With `postings` and `corpus` of an index, only chunks that hold a term of the expression are looked at.
+    """
+    indexed = postings is not None and corpus is not None and tree is not None
+    if indexed:
+        chunks = with_terms(chunks, postings, every_phrase(tree))
     if tree is None:
         return index.analyzed(chunks).where("false").withColumn("score", F.lit(0.0)).drop("title_terms", "content_terms")
     m = Matcher(tree)
     rows = m.apply(index.analyzed(chunks)).withColumn("__scope", F.col("shard") if scope == "shard" else F.lit(0)).drop("title_terms", "content_terms")
     n = range(len(m.hits))
     stats = rows.groupBy("__scope").agg(F.count(F.lit(1)).alias("__n"), F.avg("terms").alias("__mean"), *[F.count_if(f"__d{i}").alias(f"__n{i}") for i in n])
+    if indexed:
+        known = corpus.withColumn("__scope", F.col("shard") if scope == "shard" else F.lit(0)).groupBy("__scope")
+        known = known.agg(F.sum("n_docs").alias("__n"), (F.sum(F.col("n_docs") * F.col("avg_len")) / F.sum("n_docs")).alias("__mean"))
+        stats = known.join(stats.drop("__n", "__mean"), "__scope")
     # One row per shard, SHARDS at most.
     hit = rows.where("__match").join(F.broadcast(stats), "__scope")
     score = reduce(lambda x, y: x + y, [idf(F.col("__n"), F.col(f"__n{i}")) * bm25(F.col(f"__f{i}"), F.col("terms"), F.col("__mean")) for i in n], F.lit(0.0))

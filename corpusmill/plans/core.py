@@ -9,7 +9,7 @@ from corpusmill.engine import SearchRequest, candidates, results
 from corpusmill.functions import chunking, keys, text
 from corpusmill.operators import index, match, query, rank, sync
 from corpusmill.plans import sql as Q
-from corpusmill.session import table
+from corpusmill.session import table, texts
 from corpusmill.sources import browser, files
 from corpusmill.streaming import watch
 
@@ -36,12 +36,12 @@ def query_of(name: str, oracle: str | None = None):
 
 @query_of("clean_text", f"SELECT row_id, {Q.clean('content')} AS text FROM chunks WHERE content IS NOT NULL")
 def clean_text(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "chunks").where("content is not null").select("row_id", text.clean(F.col("content")).alias("text"))
+    return texts(spark, base, "chunks").where("content is not null").select("row_id", text.clean(F.col("content")).alias("text"))
 
 
 @query_of("preview", f"SELECT row_id, {Q.preview('content')} AS preview FROM chunks WHERE content IS NOT NULL")
 def preview(spark, base):
-    return table(spark, base, "chunks").where("content is not null").select("row_id", text.preview(F.col("content")).alias("preview"))
+    return texts(spark, base, "chunks").where("content is not null").select("row_id", text.preview(F.col("content")).alias("preview"))
 
 
 @query_of("path_only_chunks", rf"SELECT DISTINCT path, {Q.base('path')} || ' ' || path || ' ' || replace(path, '\', ' ') || ' ' || replace(path, '/', ' ') AS content FROM file_candidates")
@@ -56,7 +56,7 @@ r AS (SELECT row_id, unnest(regexp_extract_all(x, '[\x{3400}-\x{4DBF}\x{4E00}-\x
 SELECT DISTINCT row_id, unnest(CASE WHEN length(run) = 1 THEN [run] ELSE list_transform(range(1, length(run)), lambda i: substr(run, i, 2)) END) AS gram FROM r""",
 )
 def cjk_grams(spark, base):
-    return index.gram_postings(table(spark, base, "chunks")).select("row_id", F.col("token").alias("gram"))
+    return index.gram_postings(texts(spark, base, "chunks")).select("row_id", F.col("token").alias("gram"))
 
 
 @query_of(
@@ -66,7 +66,7 @@ u AS (SELECT row_id, p, CASE WHEN a > 0 THEN a ELSE b END AS pos FROM t), v AS (
 SELECT row_id, CASE WHEN pos = 0 OR length(p) <= 220 THEN {Q.preview('p')} ELSE (CASE WHEN s > 0 THEN '...' ELSE '' END) || {Q.trim('substr(p, s + 1, e - s)')} || (CASE WHEN e < length(p) THEN '...' ELSE '' END) END AS snippet FROM w""",
 )
 def snippets(spark, base):
-    return table(spark, base, "chunks").where("preview is not null").select("row_id", text.snippet(F.col("preview"), '"plan" liste').alias("snippet"))
+    return texts(spark, base, "chunks").where("preview is not null").select("row_id", text.snippet(F.col("preview"), '"plan" liste').alias("snippet"))
 
 
 @query_of("name_parts", rf"SELECT DISTINCT path, {Q.base('path')} AS name, {Q.ext('path')} AS ext, {Q.path('path')} AS normal, {Q.words(Q.rank_text(Q.base('path')))} AS words FROM file_candidates")
@@ -81,13 +81,13 @@ def name_parts(spark, base):
 
 @query_of("shard_assign", f"WITH k AS (SELECT DISTINCT source, item_id FROM chunks) SELECT source, item_id, ({Q.fnv('''(coalesce(source, '') || ':' || coalesce(item_id, ''))''')} % 8)::INT AS shard FROM k")
 def shard_assign(spark, base):
-    return table(spark, base, "chunks").select("source", "item_id").distinct().withColumn("shard", keys.shard(F.col("source"), F.col("item_id")))
+    return texts(spark, base, "chunks").select("source", "item_id").distinct().withColumn("shard", keys.shard(F.col("source"), F.col("item_id")))
 
 
 @query_of("global_rowid", "SELECT row_id, (row_id >> 56)::INT AS shard, row_id & ((1::BIGINT << 56) - 1) AS local, row_id AS again FROM chunks")
 def global_rowid(spark, base):
     r = F.col("row_id")
-    return table(spark, base, "chunks").select("row_id", keys.rowid_shard(r).alias("shard"), keys.rowid_local(r).alias("local"), keys.global_rowid(keys.rowid_shard(r), keys.rowid_local(r)).alias("again"))
+    return texts(spark, base, "chunks").select("row_id", keys.rowid_shard(r).alias("shard"), keys.rowid_local(r).alias("local"), keys.global_rowid(keys.rowid_shard(r), keys.rowid_local(r)).alias("again"))
 
 
 @query_of("epoch_convert", "WITH t AS (SELECT event_id, epoch_us(ts) // 1000000 AS s FROM events) SELECT event_id, (s + 11644473600) * 1000000 AS webkit, s AS unix, 0::BIGINT AS none FROM t")
@@ -105,7 +105,7 @@ def item_keys(spark, base):
 
 @query_of("content_fingerprint", "SELECT source, item_id, 'content:' || sha1(string_agg(hash, '' ORDER BY ordinal, hash)) AS content_hash FROM chunks GROUP BY source, item_id")
 def content_fingerprint(spark, base):
-    return table(spark, base, "chunks").groupBy("source", "item_id").agg(keys.content_fingerprint(F.col("ordinal"), F.col("hash")).alias("content_hash"))
+    return texts(spark, base, "chunks").groupBy("source", "item_id").agg(keys.content_fingerprint(F.col("ordinal"), F.col("hash")).alias("content_hash"))
 
 
 # ---------------------------------------------------------------- chunking
@@ -121,7 +121,7 @@ p AS (SELECT doc_id, source, ordinal, {Q.trim(f'substr(x, s + 1, {_CUT})')} AS c
 
 
 def _document_chunks(spark, base) -> DataFrame:
-    d = table(spark, base, "documents").where("text is not null").select("doc_id", "source", text.clean(F.col("text")).alias("content"))
+    d = texts(spark, base, "documents").where("text is not null").select("doc_id", "source", text.clean(F.col("text")).alias("content"))
     return chunking.split_items(d, "doc_id")
 
 
@@ -140,25 +140,25 @@ def chunk_stats(spark, base):
 
 @query_of("fts_postings", f"WITH {Q.TOKENS} SELECT shard, token, row_id, col, count(*)::INT AS tf, min(pos)::INT AS first, max(pos)::INT AS last FROM tok GROUP BY ALL")
 def fts_postings(spark, base):
-    p = index.postings(table(spark, base, "chunks"))
+    p = index.postings(texts(spark, base, "chunks"))
     return p.select("shard", "token", "row_id", "col", "tf", F.element_at("positions", 1).alias("first"), F.element_at("positions", -1).alias("last"))
 
 
 @query_of("doc_stats", f"WITH {Q.TOKENS} SELECT shard, row_id, tl::INT AS title_len, cl::INT AS content_len FROM d")
 def doc_stats(spark, base):
-    return index.doc_stats(table(spark, base, "chunks"))
+    return index.doc_stats(texts(spark, base, "chunks"))
 
 
 @query_of("corpus_stats", f"WITH {Q.TOKENS} SELECT shard, n AS n_docs, round(mean, 9) AS avg_len FROM st")
 def corpus_stats(spark, base):
-    return index.corpus_stats(table(spark, base, "chunks")).withColumn("avg_len", F.round("avg_len", 9))
+    return index.corpus_stats(texts(spark, base, "chunks")).withColumn("avg_len", F.round("avg_len", 9))
 
 
 # ---------------------------------------------------------------- matching and scores
 
 
 def _scored(spark, base, search: str, scope: str = "shard") -> DataFrame:
-    hit = match.scored(table(spark, base, "chunks"), query.parse(query.rewrite(search)), scope)
+    hit = match.scored(texts(spark, base, "chunks"), query.parse(query.rewrite(search)), scope)
     return hit.select("row_id", F.round("score", 6).alias("score"))
 
 
@@ -191,7 +191,7 @@ sc AS (SELECT c.*, (c.row_id >> 56)::INT AS shard, s0.sc AS score FROM chunks c
 
 
 def _plan(spark, base) -> DataFrame:
-    return match.scored(table(spark, base, "chunks"), query.parse(query.rewrite("plan")))
+    return match.scored(texts(spark, base, "chunks"), query.parse(query.rewrite("plan")))
 
 
 @query_of("filters_source_type_time", f"WITH {_AND} SELECT row_id, round(score, 6) AS score FROM sc WHERE source = 'file' AND file_type = 'md' AND updated_at >= 1880000000 AND updated_at <= 1929000000")
@@ -220,7 +220,7 @@ i AS (SELECT *, CASE WHEN ln((n - np + 0.5) / (np + 0.5)) <= 0 THEN 1e-6 ELSE ln
 SELECT row_id, round(-w * 2.2 / (1 + 1.2 * (0.25 + 0.75 * terms / mean)), 6) AS score FROM h JOIN i USING (shard) WHERE p AND q""",
 )
 def bm25_cjk(spark, base):
-    return match.scored_grams(table(spark, base, "chunks"), query.cjk_query("备份方")).select("row_id", F.round("score", 6).alias("score"))
+    return match.scored_grams(texts(spark, base, "chunks"), query.cjk_query("备份方")).select("row_id", F.round("score", 6).alias("score"))
 
 
 @query_of("request_limits", "WITH r AS (SELECT request_id, CASE WHEN coalesce(max_rows, 0) <= 0 THEN 50 ELSE least(max_rows, 200) END AS l, greatest(coalesce(skip_rows, 0), 0) AS o FROM search_requests) SELECT request_id, l::INT AS row_limit, o::INT AS row_offset, least(greatest(4 * (l + o), 80), 5000)::INT AS oversampled FROM r")
@@ -238,7 +238,7 @@ _CAND = "cand AS (SELECT * FROM chunks)"
 
 def _rank(name: str, rule, sql_rule: str) -> None:
     SQL[name] = f"WITH {_CAND}, {Q.FEATURES} SELECT row_id, round({sql_rule}, 4)::DOUBLE AS adjustment FROM fe"
-    QUERIES[name] = lambda spark, base: rank.features(table(spark, base, "chunks")).select("row_id", F.round(rule(), 4).cast("double").alias("adjustment"))
+    QUERIES[name] = lambda spark, base: rank.features(texts(spark, base, "chunks")).select("row_id", F.round(rule(), 4).cast("double").alias("adjustment"))
 
 
 _rank("rank_exact", lambda: rank.exact_rule(rank.profile("floor plan")), Q.exact("floor plan", False))
@@ -259,30 +259,30 @@ dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {Q.KEY} ORDER BY
 @query_of("rank_full", f"WITH {_FULL} SELECT rank::INT AS rank, row_id, source, title, round(total, 5) AS score FROM (SELECT *, row_number() OVER (ORDER BY total, updated_at DESC NULLS LAST, row_id) rank FROM dd WHERE NOT {Q.NOISY}) WHERE rank <= 50")
 def rank_full(spark, base):
     r = SearchRequest("plan")
-    return results(candidates(table(spark, base, "chunks"), r), r, NOW).select("rank", "row_id", "source", "title", F.round("score", 5).alias("score"))
+    return results(candidates(texts(spark, base, "chunks"), r), r, NOW).select("rank", "row_id", "source", "title", F.round("score", 5).alias("score"))
 
 
 @query_of("paginate", f"WITH {_FULL} SELECT rank::INT AS rank, row_id FROM (SELECT *, row_number() OVER (ORDER BY total, updated_at DESC NULLS LAST, row_id) rank FROM dd WHERE NOT {Q.NOISY}) WHERE rank > 20 AND rank <= 50")
 def paginate(spark, base):
     r = SearchRequest("plan", limit=30, offset=20)
-    return results(candidates(table(spark, base, "chunks"), r), r, NOW).select("rank", "row_id")
+    return results(candidates(texts(spark, base, "chunks"), r), r, NOW).select("rank", "row_id")
 
 
 @query_of("load_more", f"WITH {_FULL} SELECT row_id FROM (SELECT *, row_number() OVER (ORDER BY total, updated_at DESC NULLS LAST, row_id) rank FROM dd WHERE NOT {Q.NOISY}) WHERE rank <= 45")
 def load_more(spark, base):
-    c = table(spark, base, "chunks")
+    c = texts(spark, base, "chunks")
     pages = [results(candidates(c, r), r, NOW) for r in (SearchRequest("plan", limit=30, offset=0), SearchRequest("plan", limit=25, offset=20))]
     return rank.load_more(*pages).select("row_id")
 
 
 @query_of("dedupe_results", f"WITH s AS (SELECT *, 0.0 AS score FROM chunks) SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY {Q.KEY} ORDER BY score, updated_at DESC NULLS LAST, row_id) k FROM s) WHERE k = 1")
 def dedupe_results(spark, base):
-    return rank.deduped(table(spark, base, "chunks").withColumn("score", F.lit(0.0))).select("row_id")
+    return rank.deduped(texts(spark, base, "chunks").withColumn("score", F.lit(0.0))).select("row_id")
 
 
 @query_of("noise_filter", f"SELECT row_id FROM (SELECT row_id, {Q.path('path')} AS pa FROM chunks) WHERE NOT {Q.NOISY}")
 def noise_filter(spark, base):
-    return rank.without_noise(table(spark, base, "chunks"), "react").select("row_id")
+    return rank.without_noise(texts(spark, base, "chunks"), "react").select("row_id")
 
 
 # ---------------------------------------------------------------- browser sources
@@ -322,7 +322,7 @@ j AS (SELECT coalesce(own, title, '') AS name, url, t FROM b JOIN p ON p.id = b.
 SELECT 'bookmark:' || url AS id, ti AS title, ti || chr(10) || url AS content, t // 1000000 AS updated_at FROM z""",
 )
 def bookmarks_join(spark, base):
-    c = table(spark, base, "chunks").where("source != 'file'")
+    c = texts(spark, base, "chunks").where("source != 'file'")
     places = c.select(F.col("row_id").alias("id"), F.col("chunk_id").alias("url"), "title")
     marks = c.where("updated_at is not null").select(F.col("row_id").alias("fk"), F.when(F.col("row_id") % 3 != 0, F.col("preview")).alias("title"), (F.col("row_id") % 2 + 1).alias("type"), (F.col("updated_at") * 1_000_000).alias("dateAdded"))
     return browser.firefox_bookmarks(marks, places).select("id", "title", "content", "updated_at")
@@ -401,7 +401,7 @@ _FRESH = "CASE WHEN ordinal % 5 = 1 THEN hash || 'x' ELSE hash END"
 
 def _fresh(spark, base) -> DataFrame:
     """A later state of the chunk table: some pieces changed, the last ones gone, a new one in front of others."""
-    c = table(spark, base, "chunks")
+    c = texts(spark, base, "chunks")
     f = c.where("ordinal % 7 != 6").withColumn("hash", F.expr(_FRESH)).select("source", "item_id", "ordinal", "hash", "title", *[x for x in c.columns if x not in ("source", "item_id", "ordinal", "hash", "title")])
     return f.unionByName(f.where("ordinal = 0").withColumn("ordinal", F.lit(100000)))
 
@@ -413,12 +413,12 @@ n AS (SELECT source, item_id, ordinal, min(struct_pack(h := hash, t := title)) A
 SELECT source, item_id, ordinal, CASE WHEN o.x IS NULL THEN 'insert' WHEN n.x IS NULL THEN 'delete' WHEN o.x.h IS NOT DISTINCT FROM n.x.h AND o.x.t IS NOT DISTINCT FROM n.x.t THEN 'keep' ELSE 'replace' END AS action, coalesce(o.x.r, -1) AS row_id FROM o FULL JOIN n USING (source, item_id, ordinal)""",
 )
 def chunk_diff(spark, base):
-    return sync.chunk_diff(table(spark, base, "chunks"), _fresh(spark, base)).withColumn("row_id", F.coalesce("row_id", F.lit(-1)))
+    return sync.chunk_diff(texts(spark, base, "chunks"), _fresh(spark, base)).withColumn("row_id", F.coalesce("row_id", F.lit(-1)))
 
 
 @query_of("delete_subtree", f"SELECT row_id FROM chunks WHERE NOT coalesce(source = 'file' AND ({Q.path('path')} = '/home/padek/work' OR starts_with({Q.path('path')}, '/home/padek/work/')), false)")
 def delete_subtree(spark, base):
-    return sync.delete_subtree(table(spark, base, "chunks"), "/home/padek/Work/").select("row_id")
+    return sync.delete_subtree(texts(spark, base, "chunks"), "/home/padek/Work/").select("row_id")
 
 
 @query_of("records_under", rf"SELECT DISTINCT path, content_hash FROM file_fingerprints WHERE {Q.path('path')} = 'c:/users/quen' OR starts_with({Q.path('path')}, 'c:/users/quen/') OR starts_with({Q.path('path')}, '/home/minsa/')")

@@ -40,7 +40,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def sized(spark: SparkSession, df: DataFrame, bytes_per_task: int = 4 << 20, key=None) -> DataFrame:
-    """Spread few large input splits over the cores when a costly per-row step follows."""
-    n = max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
-    return df.repartition(n) if key is None else df.repartition(n, key)
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a part if the input has fewer splits than there are cores; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """A table of texts, of which each row costs much work."""
+    return spread(table(spark, base, name))

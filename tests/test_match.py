@@ -43,6 +43,20 @@ def test_same_as_sqlite(chunks, fts, q):
     assert all(abs(got[k] - want[k]) < 1e-5 for k in got)
 
 
+def test_index_gives_the_same_as_a_scan(spark, chunks, tmp_path):
+    from corpusmill import schema
+    from corpusmill.operators.index import Index
+
+    have = set(chunks.columns)
+    full = chunks.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.CHUNK])
+    ix = Index(spark, str(tmp_path / "ix"))
+    ix.write(full)
+    for q in ("alp*", "alpha NOT beta", '"alpha beta" OR NEAR(gamma delta, 2)', "title : beta"):
+        a = {(r.row_id, round(r.score, 9)) for r in match.scored(chunks, query.parse(q)).collect()}
+        b = {(r.row_id, round(r.score, 9)) for r in match.scored(ix.chunks(), query.parse(q), "shard", ix.table("postings"), ix.table("stats")).collect()}
+        assert a == b
+
+
 @pytest.mark.parametrize("q", ['"open', "alpha AND", "(alpha", "NEAR(alpha, x)", "body : alpha", "foo-bar", "AND"])
 def test_errors(q):
     with pytest.raises(query.QuerySyntaxError):
