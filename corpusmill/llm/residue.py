@@ -25,6 +25,8 @@ from corpusmill.session import settle
 ALIGNED = 3
 #: Kinds of brackets in which a name must stand in open slots to be taken for a variable's.
 KINDS = 3
+#: Kinds of brackets (counted as in SLOTS, from 1) that no markup uses for its own; only these tell a variable's name.
+OWN_KINDS = (1, 3, 4, 8, 10, 11, 12, 13, 14, 15, 17)
 #: A sentence template is learned as a notice from so many pages, if this share of them hold nothing else.
 LEARN, SHARE = 5, 0.9
 
@@ -52,7 +54,7 @@ NOTICES = [
     r"bitte aktivieren sie javascript.*", r"veuillez activer javascript.*", r"(?:por favor,? )?active javascript.*", r"(?:por favor,? )?ative o javascript.*", r"请启用 ?javascript.*", r"пожалуйста,? включите javascript.*", r"(?:this site|we) .{0,20}(?:down for|under) maintenance.*", r"check back (?:in|later|soon)\b.*",
     r"(?:error )?[45]\d\d\b.{0,5}(?:not found|bad gateway|internal server error|forbidden|unauthorized|service unavailable|gateway time-?out|bad request|the page you|too many requests|access denied|error)\b.*", r"(?:http )?error \d{3}\b.*", r"错误代码 ?\d+.*", r"page not found.*", r"(?:oops[,!]? ?)?the page (?:you|cannot|can't|does).{0,60}(?:found|exist|moved).*", r"(?:sorry, )?(?:something|an error) (?:went wrong|occurred)\b.*",
     r"error reference\b.*", r"access (?:is )?denied.*", r"forbidden", r"you (?:do not|don't) have permission\b.*", r"your session (?:has )?(?:expired|timed out)\b.*", r"(?:please )?(?:sign|log) in again\b.*", r"the (?:server|request) (?:met|encountered|could not|timed out)\b.*", r"upstream sent no valid answer", r"(?:the preview|this content|this page|this video|this service) is (?:not available|unavailable)\b.*",
-    r"(?:noscript: )?(?:this|the) .{1,30}(?:needs|requires|works only with|cannot run without) .{0,20}script(?:s|ing)?\b.*", r"turn (?:them|it|scripts|javascript) on in your browser.*", r"esta aplicación necesita .{0,40}scripts.*", r"您的浏览器已禁用.*", r"(?:diese|die) (?:anwendung|seite) (?:benötigt|braucht) .{0,30}(?:skripte?|javascript).*", r"cette (?:application|page) (?:nécessite|a besoin de) .{0,30}(?:scripts?|javascript).*",
+    r"(?:noscript: )?(?:this|the) .{1,30}(?:needs|requires|works only with|cannot run without) .{0,20}script(?:s|ing)?\b.*", r"turn (?:them|it|scripts|javascript) on in your browser.*", r"esta aplicación necesita .{0,40}scripts.*", r"您的浏览器已禁用.*", r"(?:diese|die) (?:anwendung|seite) (?:benötigt|braucht|läuft|funktioniert) .{0,40}(?:skript|javascript).*", r"cette (?:application|page) (?:nécessite|a besoin de|ne fonctionne) .{0,30}(?:scripts?|javascript).*",
     r"unable to connect\b.*", r"contact the administrator.*", r"the requested url\b.*", r"support id\b.*", r"oops", r"that link is broken\b.*", r"wartungsarbeiten.*", r"ihnen fehlen die .{0,20}rechte.*", r"vous n['’]avez pas les droits.*", r"travaux de maintenance.*", r"(?:sitio )?en mantenimiento.*", r"(?:系统|网站)维护中?.*",
     r"we could not load\b.*", r"too many requests.*", r"slow down and try again\b.*", r"(?:please )?(?:try again|reload|refresh)\b.{0,60}", r"seite nicht gefunden.*", r"die (?:seite|adresse|angeforderte).{0,60}(?:nicht|entfernt).*", r"ihre sitzung ist abgelaufen.*", r"bitte melden sie sich (?:neu|erneut) an.*", r"interner serverfehler.*", r"bitte versuchen sie es .*", r"zugriff verweigert.*",
     r"sie haben keine berechtigung.*", r"page introuvable.*", r"l['’]adresse demandée.*", r"votre session a expiré.*", r"erreur interne du serveur.*", r"réessayez (?:dans|plus).*", r"accès (?:refusé|interdit).*", r"vous n['’]avez pas (?:l['’]autorisation|la permission|le droit).*", r"página no encontrada.*", r"la (?:página|dirección) .{0,60}(?:no existe|no se).*", r"su sesión ha (?:caducado|expirado).*",
@@ -63,7 +65,7 @@ FILLERS = [
     r"bitte durch eigenen text ersetzen.*", r"votre texte ici.*", r"ceci est un faux texte.*", r"paragraphe d['’]exemple.*", r"texto de relleno.*", r"aquí va su texto.*", r"contenido de muestra.*", r"texto de exemplo.*", r"seu texto aqui.*", r"此处填写.*", r"(?:占位文本)+.*", r"示例文字.*", r"здесь будет (?:ваш )?текст.*", r"текст-заполнитель.*",
 ]
 KNOWN_SENTENCE = re.compile("(?is)(?:" + "|".join([*NOTICES, *FILLERS]) + r")[.!?。！？…]*")
-HINT = re.compile(r"(?i)[a-z]*script|cookie|\b[45]\d\d\b|page|seite|página|session|sesi|sitzung|sessão|access|acc[eè]s|permi|error|erreur|fehler|erro\b|server|serv|denied|deneg|preview|load|request|try again|again|later|maintenance|coming|text|relleno|muestra|exempl|sample|head|body|lorem|ipsum|dolor|asdf|qwer|页|错误|过期|服务器|此处|占位|示例|访问|权限|сесс|страниц|ошибк|доступ|текст")
+HINT = re.compile(r"(?i)script|skript|脚本|cookie|content|link|connect|admin|region|own words|placeholder|copy|wartung|wieder da|rechte|droits|zugriff|eigenen|maintenance|mantenim|维护|\b[45]\d\d\b|page|seite|página|session|sesi|sitzung|sessão|access|acc[eè]s|permi|error|erreur|fehler|erro\b|server|serv|denied|deneg|preview|load|request|try again|again|later|maintenance|coming|text|relleno|muestra|exempl|sample|head|body|lorem|ipsum|dolor|asdf|qwer|页|错误|过期|服务器|此处|占位|示例|访问|权限|сесс|страниц|ошибк|доступ|текст")
 LOREM = re.compile(r"(?:lorem|ipsum|dolor|situm?$|sit$|amet|conse|adip|elit|eiusm|tempo|tempu|incid|labor|magn|aliqu|viver|lacu|fauc|port[ao]|ferme|morbi|urna|null|bland|pret[io]|salic|congu|est(?:um)?$|veli|ris[ou]|sed$|ut$|et$|non$|in$)")
 MASH = re.compile(r"(?i)\b(?:(?:asdf|qwer(?:ty)?|jkl|hjkl|zxcv|uiop|fdsa|asd|qwe)[a-z]{0,4}\b[ ,;]*){2,}")
 CHROME = re.compile(
@@ -172,7 +174,7 @@ def found_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     slot = docs.select("id", F.explode("slots").alias("s")).select("id", "s.*")
     context = slot.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("filler").alias("fillers"))
     open_slot = slot.join(context.where(~((F.col("n") >= ALIGNED) & (F.col("fillers") == 1))).select("context"), "context", "left_semi")
-    names = open_slot.groupBy("name").agg(F.count_distinct("kind").alias("kinds"))
+    names = open_slot.groupBy("name").agg(F.count_distinct(F.when(F.col("kind").isin(*OWN_KINDS), F.col("kind"))).alias("kinds"))
     variable = names.where((F.col("kinds") >= KINDS) | F.col("name").rlike(f"^(?:{KNOWN.pattern})$")).select("name")
     residue = open_slot.join(variable, "name", "left_semi").select("id")
 
