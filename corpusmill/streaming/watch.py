@@ -14,8 +14,8 @@ CREATE, WRITE, REMOVE, RENAME = 1, 2, 4, 8
 
 def gathered(events: DataFrame, seconds: int = 1) -> DataFrame:
     """(tick, path, ops) of events (ts, path, op): the bits of each path within each tick."""
-    tick = F.window("ts", f"{seconds} seconds").getField("start")
-    return events.groupBy(tick.alias("tick"), "path").agg(F.bit_or("op").alias("ops"))
+    ticks = events.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "path").agg(F.bit_or("op").alias("ops"))
+    return ticks.select(F.col("w.start").alias("tick"), "path", "ops")
 
 
 def actions(ticks: DataFrame) -> DataFrame:
