@@ -61,6 +61,6 @@ def unix_to_webkit(c: Column) -> Column:
 
 
 def content_fingerprint(ordinal: Column, hash_: Column) -> Column:
-    """Aggregate: SHA-1 over an item's chunk hashes in order."""
+    """Aggregate: SHA-1 over an item's chunk hashes in order; an item is a file of bounded size, so its hashes fit in one row."""
     ordered = F.sort_array(F.collect_list(F.struct(ordinal.alias("o"), hash_.alias("h"))))
     return F.concat(F.lit("content:"), F.sha1(F.array_join(F.transform(ordered, lambda x: x["h"]), "")))

@@ -56,8 +56,8 @@ def newest_fingerprints(fingerprints: DataFrame) -> DataFrame:
     """(npath, content_hash) of the newest record of each path; ties keep every hash."""
     f = fingerprints.where(F.col("path").isNotNull()).select(normal_path(F.col("path")).alias("npath"), "content_hash", F.coalesce("updated_at", F.lit(-(1 << 62))).alias("u"))
     best = f.groupBy("npath", "content_hash").agg(F.max("u").alias("u"))
-    top = best.groupBy("npath").agg(F.max("u").alias("u"), F.collect_list(F.struct("u", "content_hash")).alias("all"))
-    return top.select("npath", F.explode(F.array_distinct(F.transform(F.filter("all", lambda x: x["u"] == F.col("u")), lambda x: x["content_hash"]))).alias("content_hash"))
+    top = f.groupBy("npath").agg(F.max("u").alias("u"))
+    return best.join(top, ["npath", "u"]).select("npath", "content_hash")
 
 
 def changed_files(candidates: DataFrame, fingerprints: DataFrame) -> DataFrame:

@@ -77,11 +77,12 @@ class Index:
         return f"{self.path}/v{v[-1]}" if v else None
 
     def write(self, chunks: DataFrame, keep: int = 2) -> str:
-        """Write a new version; older ones but `keep` are removed."""
+        """Write a new version; older ones but `keep` are removed. Postings have at most as many ranges as there are shuffle partitions."""
         known = self.versions()
         out = f"{self.path}/v{(known or [0])[-1] + 1}"
         by_shard = chunks.withColumn("shard", keys.rowid_shard(F.col("row_id")))
-        by_shard.repartition("shard", F.pmod(F.xxhash64("row_id"), F.lit(16))).write.mode("overwrite").partitionBy("shard").parquet(f"{out}/chunks")
+        # Rebalanced, a shard has as many files of the advisory size as it needs, however large it is.
+        by_shard.hint("rebalance", "shard").write.mode("overwrite").partitionBy("shard").parquet(f"{out}/chunks")
         stored = self.spark.read.schema(STORED["chunks"]).parquet(f"{out}/chunks").drop("shard")
         # Sorted by term, row groups hold few terms and a search reads only those of its own.
         postings(stored).repartitionByRange("shard", "token").sortWithinPartitions("shard", "token", "row_id").write.mode("overwrite").partitionBy("shard").parquet(f"{out}/postings")
