@@ -65,8 +65,9 @@ FILLERS = [
     r"bitte durch eigenen text ersetzen.*", r"votre texte ici.*", r"ceci est un faux texte.*", r"paragraphe d['’]exemple.*", r"texto de relleno.*", r"aquí va su texto.*", r"contenido de muestra.*", r"texto de exemplo.*", r"seu texto aqui.*", r"此处填写.*", r"(?:占位文本)+.*", r"示例文字.*", r"здесь будет (?:ваш )?текст.*", r"текст-заполнитель.*",
 ]
 KNOWN_SENTENCE = re.compile("(?is)(?:" + "|".join([*NOTICES, *FILLERS]) + r")[.!?。！？…]*")
-HINT = re.compile(r"(?i)script|skript|脚本|cookie|content|link|connect|admin|region|own words|placeholder|copy|wartung|wieder da|rechte|droits|zugriff|eigenen|maintenance|mantenim|维护|\b[45]\d\d\b|page|seite|página|session|sesi|sitzung|sessão|access|acc[eè]s|permi|error|erreur|fehler|erro\b|server|serv|denied|deneg|preview|load|request|try again|again|later|maintenance|coming|text|relleno|muestra|exempl|sample|head|body|lorem|ipsum|dolor|asdf|qwer|页|错误|过期|服务器|此处|占位|示例|访问|权限|сесс|страниц|ошибк|доступ|текст")
+KEYS = ("asd", "Asd", "ASD", "qwe", "Qwe", "QWE", "jkl", "zxcv", "uiop", "fdsa")
 LOREM = re.compile(r"(?:lorem|ipsum|dolor|situm?$|sit$|amet|conse|adip|elit|eiusm|tempo|tempu|incid|labor|magn|aliqu|viver|lacu|fauc|port[ao]|ferme|morbi|urna|null|bland|pret[io]|salic|congu|est(?:um)?$|veli|ris[ou]|sed$|ut$|et$|non$|in$)")
+WORDS = re.compile(r"[^\W\d_]+")
 MASH = re.compile(r"(?i)\b(?:(?:asdf|qwer(?:ty)?|jkl|hjkl|zxcv|uiop|fdsa|asd|qwe)[a-z]{0,4}\b[ ,;]*){2,}")
 CHROME = re.compile(
     r"(?i)(?:home|menu|men[uú]|login|log ?in|log ?out|sign (?:in|up)|help|search|contact|about(?: us)?|back(?: to (?:start|top|home))?|skip to (?:main )?content|share(?: this page)?|print(?: this page)?|top|next|previous|newsletter|imprint|privacy(?: policy)?|terms(?: of use)?|sitemap|cookies?|impressum|datenschutz|kontakt|startseite|hilfe|suche|anmelden|accueil|aide|recherche|connexion|inicio|ayuda|buscar|contacto|acceder|"
@@ -85,7 +86,9 @@ def hash64(text: str) -> int:
 
 
 def is_filler_latin(sentence: str) -> bool:
-    words = re.findall(r"[^\W\d_]+", sentence.lower())
+    words = WORDS.findall(sentence.lower())
+    if not any(LOREM.match(w) for w in words[:2]):
+        return False
     hits = sum(bool(LOREM.match(w)) for w in words)
     return len(words) >= 4 and hits >= 0.75 * len(words) or hits == len(words) > 1
 
@@ -117,7 +120,7 @@ def slots_of(text: str) -> Iterator[tuple[str, str, int, str]]:
 def sentences_of(text: str) -> tuple[list[int], int]:
     """Hashes of the sentence templates that are neither known nor chrome, and the number of known notices or filler sentences."""
     body = TAGS.sub("\n", text) if "<" in text else text
-    hint = HINT.search(body) is not None
+    mash = any(k in body for k in KEYS)
     unknown: set[int] = set()
     known = 0
     lines = [x.strip() for x in body.split("\n")]
@@ -127,15 +130,15 @@ def sentences_of(text: str) -> tuple[list[int], int]:
             continue
         if len(line) < 120 and CHROME.fullmatch(line):
             continue
-        if hint:
+        if mash:
             line = MASH.sub("\n", line)
             if "\n" in line:
                 known += 1
-        for s in SENTENCE.split(line.replace("\n", " ").strip()) if "\n" in line else SENTENCE.split(line):
+        for s in SENTENCE.split(line.replace("\n", " ")):
             s = s.strip()
             if not s:
                 continue
-            if hint and (KNOWN_SENTENCE.fullmatch(s) or is_filler_latin(s)):
+            if KNOWN_SENTENCE.fullmatch(s) or is_filler_latin(s):
                 known += 1
                 first = False
                 continue
