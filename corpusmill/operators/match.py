@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import keys, text
 from corpusmill.operators import index
-from corpusmill.operators.query import COLUMNS, Near, Node, Phrase
+from corpusmill.operators.query import COLUMNS, Near, Phrase
 
 K1, B = 1.2, 0.75
 #: Weight of a hit in the title and in the content.

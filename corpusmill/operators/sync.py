@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import keys, text
 from corpusmill.sources import files
-from corpusmill.operators.incremental import changed_parts, fingerprint  # noqa: F401  (part of this module's interface)
 
 
 def desired_kind(content_only: bool = False, limit: int = files.FOREGROUND_BYTES, rich: bool = False, max_bytes: int = files.MAX_BYTES) -> Column:
