@@ -1,7 +1,7 @@
 """Template residue, filler and error pages (problem 9).
 
-Records that share a template are aligned on the words before a possible slot. A slot is open if the records of its template
-fill it differently; a slot that every record fills with the same thing is quoted text, not a slot. An open slot that retains
+A possible slot is closed, that is, quoted text, only if its own line explains or instructs how templates are written; that every
+record of a template retains the same bracket closes nothing, however often it is stored. An open slot that retains
 a variable's name is residue; variable names are known ones, and those that the corpus shows in three or more kinds of brackets in
 open slots. Beside slots, whole pages are aligned sentence by sentence: a page is a notice if all its sentences, apart from menu,
 header and footer lines and tags, are notices or filler. The known notices grow by those sentence templates that the corpus repeats on such pages only.
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import settle
 
-#: Records a template needs before its slot can be told to be the same in all of them.
-ALIGNED = 3
 #: Kinds of brackets in which a name must stand in open slots to be taken for a variable's.
 KINDS = 3
 #: Kinds of brackets (counted as in SLOTS, from 1) that no markup uses for its own; only these tell a variable's name.
@@ -46,6 +44,8 @@ KNOWN = re.compile(
     r"vorname|nachname|betrag|datum|ort|firma|anrede|empfänger|unterschrift|nombre|apellidos?|fecha|importe|ciudad|empresa|firma|nom|prénom|nom du client|montant|ville|société|destinataire|nome|sobrenome|data|valor|cidade|"
     r"имя|фамилия|дата|сумма|город|日期|姓名|金额|城市|公司|收件人|签名)"
 )
+#: Instructions that quote a slot, with the slot masked.
+INSTRUCTS = re.compile(r"(?i)\b(?:put|write|type|use|schreiben sie|écrivez|mettez|escriba|ponga|escreva|coloque|напишите)\s+[\"'“„«`]?\x01[\"'”“»`]?,?\s+(?:where(?:ver)?|whenever|instead of|in place of|wo|dort|là où|donde|onde|там,? где)\b|(?:写上|写)\x01(?:的地方|代替)")
 EXPLAINS = re.compile(r"(?i)\b(?:template|placeholder|mail merge|variable|syntax|Vorlage|Platzhalter|plantilla|modèle de document)\b|模板|占位符|шаблон")
 
 # Sentences of notices and filler, whole.
@@ -111,8 +111,8 @@ def slots_of(text: str) -> Iterator[tuple[str, str, int, str]]:
         left = MASK.sub(lambda x: "0" if x.group(0)[0].isdigit() else x.group(0), left).strip()[-24:]
         right = text[m.end() : m.end() + 24]
         right = re.split(r"[.!?。！？\n]", SLOT.sub("\x01", right))[0].strip()[:8]
-        whole = text[max(text.rfind("\n", 0, m.start()), m.start() - 120) : m.end() + 80]
-        if EXPLAINS.search(whole):
+        before, after = text[max(text.rfind("\n", 0, m.start()), m.start() - 120, 0) : m.start()], text[m.end() : m.end() + 80]
+        if EXPLAINS.search(before + m.group(0) + after) or INSTRUCTS.search(before[-40:] + "\x01" + after[:40]):
             continue
         yield (left or "\x02" + right), m.group(0), m.lastindex, name
 
@@ -175,11 +175,9 @@ def found_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """Distinct keys of the documents that are template residue, filler, error pages or notices."""
     docs = settle(scanned(docs, key, text))
     slot = docs.select("id", F.explode("slots").alias("s")).select("id", "s.*")
-    context = slot.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("filler").alias("fillers"))
-    open_slot = slot.join(context.where(~((F.col("n") >= ALIGNED) & (F.col("fillers") == 1))).select("context"), "context", "left_semi")
-    names = open_slot.groupBy("name").agg(F.count_distinct(F.when(F.col("kind").isin(*OWN_KINDS), F.col("kind"))).alias("kinds"))
+    names = slot.groupBy("name").agg(F.count_distinct(F.when(F.col("kind").isin(*OWN_KINDS), F.col("kind"))).alias("kinds"))
     variable = names.where((F.col("kinds") >= KINDS) | F.col("name").rlike(f"^(?:{KNOWN.pattern})$")).select("name")
-    residue = open_slot.join(variable, "name", "left_semi").select("id")
+    residue = slot.join(variable, "name", "left_semi").select("id")
 
     unknown = docs.withColumn("n", F.size("sentences"))
     alone = (F.col("known") > 0) & (F.col("n") <= 2)

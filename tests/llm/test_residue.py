@@ -51,3 +51,11 @@ def test_learned_notice(spark):
 
 def test_empty(spark):
     assert residue.found_rows(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_copies_close_no_slot(spark):
+    left = "We met in May. Dear {{first_name}}, the hall is open."
+    quoted = "How to write a template: put {{first_name}} where the name goes."
+    rows = [(i, left) for i in range(4)] + [(10 + i, f"Room {i} is clean. Minutes of [company], room {i}.") for i in range(4)] + [(20, quoted)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in residue.found_rows(df).collect()} == {0, 1, 2, 3, 10, 11, 12, 13}
