@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,7 +92,7 @@ def search(chunks: DataFrame, request: SearchRequest, now: int, scope: str = "sh
 class Engine:
     """State lives below `root` in the shared file system; every method is one or a few Spark jobs."""
 
-    def __init__(self, spark: SparkSession, root: str, extractor: Callable[[str, bytes], str | None] | None = None):
+    def __init__(self, spark: SparkSession, root: str, extractor: Callable[[str, bytes], str | None] | None = None, browsers: dict[str, dict[str, str]] | None = None):
         self.spark, self.root, self.extractor = spark, root.rstrip("/"), extractor
         self.index = index.Index(spark, f"{self.root}/index")
         self.records = sync.Table(spark, f"{self.root}/records", schema.FINGERPRINT)
@@ -98,7 +100,10 @@ class Engine:
         self.watched = sync.Table(spark, f"{self.root}/watched", schema.WATCHED)
         self.progress = IndexProgress()
         self.started = time.time()
+        #: Snapshots of the browsers' tables by kind (histories, downloads, bookmarks) and adapter, for calls that name none.
+        self.browsers = browsers or {}
         self.paused = False
+        self._cancelled = threading.Event()
         self._tag = f"corpusmill-{uuid.uuid4().hex[:8]}"
 
     # -- information
@@ -137,6 +142,24 @@ class Engine:
 
     # -- indexing
 
+    @contextmanager
+    def _tagged(self, name: str) -> Iterator[None]:
+        """Jobs of the block carry the tag that cancelling interrupts."""
+        self.spark.addTag(f"{self._tag}-{name}")
+        try:
+            yield
+        finally:
+            self.spark.removeTag(f"{self._tag}-{name}")
+
+    def _wait_while_paused(self) -> None:
+        """Hold a backfill until it is resumed; cancelling ends it."""
+        before = self.progress.phase
+        while self.paused:
+            self.progress.phase = "paused"
+            if self._cancelled.wait(0.25):
+                raise RuntimeError("cancelled")
+        self.progress.phase = before
+
     def _store(self, items: DataFrame, stream: bool = False) -> None:
         """Clean, cut and write items; their earlier chunks are replaced."""
         clean = items.withColumn("content", text.clean(F.col("content"))).where(F.col("content") != "")
@@ -149,7 +172,14 @@ class Engine:
 
     def index_path(self, path: str, max_bytes: int = files.MAX_BYTES, content_only: bool = False, watch_it: bool = True, strict: bool = True) -> dict:
         """Index what is new or changed below `path`; a second call without changes writes nothing."""
+        with self._tagged("index"):
+            return self._index_path(path, max_bytes, content_only, watch_it, strict)
+
+    def _index_path(self, path: str, max_bytes: int, content_only: bool, watch_it: bool, strict: bool) -> dict:
         self.progress = IndexProgress(phase="scanning", started_at=time.time())
+        if content_only:
+            self._cancelled.clear()
+            self._wait_while_paused()
         key = ("file-content:" if content_only else "file:") + path.lower()
         last = max([0, *[r.last_sync_time for r in self.state.read().where(F.col("adapter_id") == key).collect()]])
         listed = files.list_files(self.spark, path, max_bytes, prune=True)
@@ -158,7 +188,9 @@ class Engine:
         decided = sync.decisions(listed, known, last, content_only, limit, strict).cache()
         count = sync.summary(decided).first()
         self.progress.scanned, self.progress.skipped, self.progress.phase = count.scanned, count.skipped, "indexing"
-        if count.indexed and not self.paused:
+        if content_only:
+            self._wait_while_paused()
+        if count.indexed:
             todo = decided.where("action != 'skip'")
             texts = files.read_texts(self.spark, path, limit, self.extractor).join(todo.where("action = 'index_content'").select("path"), "path", "left_semi")
             full = files.file_items(texts.where(text.trim_space(F.col("content")) != ""))
@@ -194,6 +226,10 @@ class Engine:
 
     def sync_browsers(self, histories: dict[str, DataFrame], downloads: dict[str, DataFrame] | None = None, bookmarks: dict[str, DataFrame] | None = None) -> dict[str, int]:
         """Index what the browsers recorded since their watermarks, and move those on."""
+        with self._tagged("sync"):
+            return self._sync_browsers(histories, downloads, bookmarks)
+
+    def _sync_browsers(self, histories: dict[str, DataFrame], downloads: dict[str, DataFrame] | None, bookmarks: dict[str, DataFrame] | None) -> dict[str, int]:
         states = {r.adapter_id: r.last_sync_time for r in self.state.read().collect()}  # one row per adapter
         counts = {}
         for name in dict.fromkeys([*histories, *(downloads or {}), *(bookmarks or {})]):
@@ -247,16 +283,19 @@ class Engine:
         return watch.watch(events, apply, checkpoint, once=once)
 
     def pause_content_index(self) -> None:
-        self.paused, self.progress.phase = True, "paused"
+        """Hold backfills at their next step; search and the indexing of paths go on."""
+        self.paused = True
 
     def resume_content_index(self) -> None:
-        self.paused, self.progress.phase = False, "idle"
+        self.paused = False
 
     def cancel_index(self) -> None:
+        self._cancelled.set()
         self.spark.interruptTag(f"{self._tag}-index")
         self.progress.phase = "idle"
 
-    cancel_sync_browsers = cancel_index
+    def cancel_sync_browsers(self) -> None:
+        self.spark.interruptTag(f"{self._tag}-sync")
 
     def optimize(self) -> None:
         """Rewrite the index in well-sized, sorted files."""
@@ -275,6 +314,9 @@ class Engine:
                 out = asdict(self.search(SearchRequest(**params)))
             elif method == "index_path":
                 out = self.index_path(params["path"], params.get("max_bytes") or files.MAX_BYTES)
+            elif method == "sync_browsers":
+                tables = {k: {n: browser.from_parquet(self.spark, p) for n, p in ((params or self.browsers).get(k) or {}).items()} for k in ("histories", "downloads", "bookmarks")}
+                out = self.sync_browsers(**tables)
             elif method in ("health", "index_progress", "cancel_search", "cancel_index", "pause_content_index", "resume_content_index", "cancel_sync_browsers", "optimize"):
                 out = getattr(self, method)() or {"ok": True}
             else:

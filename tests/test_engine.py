@@ -1,5 +1,6 @@
 import json
 import os
+import threading
 import time
 
 import pytest
@@ -82,6 +83,52 @@ def test_browsers(spark, tmp_path):
     assert e.search(SearchRequest("beta", source="edge")).total == 0
 
 
+def test_pause_holds_backfills_only(spark, tmp_path):
+    d = tmp_path / "one"
+    d.mkdir()
+    (d / "note.txt").write_text("needle")
+    e = Engine(spark, str(tmp_path / "state"))
+    e.pause_content_index()
+    failed = []
+
+    def run():
+        try:
+            e.backfill(str(d))
+        except RuntimeError as x:
+            failed.append(str(x))
+
+    t = threading.Thread(target=run)
+    t.start()
+    t.join(2)
+    assert t.is_alive() and e.progress.phase == "paused"
+    e.cancel_index()
+    t.join(30)
+    assert failed == ["cancelled"] and e.progress.phase == "idle"
+    e._cancelled.clear()
+    t = threading.Thread(target=e._wait_while_paused)
+    t.start()
+    t.join(1)
+    assert t.is_alive()
+    e.resume_content_index()
+    t.join(30)
+    assert not t.is_alive()
+    e.pause_content_index()
+    assert e.index_path(str(d), watch_it=False)["indexed"] >= 1 and not e.records.read().isEmpty()
+
+
+def test_indexing_and_sync_jobs_carry_their_tags(spark, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path / "state"))
+    seen = []
+    monkeypatch.setattr(e, "_index_path", lambda *a: seen.append(spark.getTags()) or {})
+    monkeypatch.setattr(e, "_sync_browsers", lambda h, d, b: seen.append(spark.getTags()) or {n: t.count() for n, t in h.items()})
+    e.index_path(str(tmp_path))
+    spark.range(3).write.parquet(str(tmp_path / "urls"))
+    call = json.dumps({"id": 1, "method": "sync_browsers", "params": {"histories": {"chrome": str(tmp_path / "urls")}}})
+    assert json.loads(e.call(call))["result"] == {"chrome": 3}
+    assert json.loads(e.call('{"id": 2, "method": "sync_browsers"}')) == {"id": 2, "ok": True, "result": {}}
+    assert [{t.rsplit("-", 1)[1] for t in tags} for tags in seen] == [{"index"}, {"sync"}, {"sync"}] and not spark.getTags()
+
+
 def test_profiles():
     p = rank.profile("rpc.php")
     assert p.filename and p.file and not p.bare
