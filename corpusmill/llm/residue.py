@@ -25,7 +25,7 @@ from corpusmill.session import settle
 KINDS = 3
 #: Kinds of brackets (counted as in SLOTS, from 1) that no markup uses for its own; only these tell a variable's name.
 OWN_KINDS = (1, 3, 4, 8, 10, 11, 12, 13, 14, 15, 17)
-#: A sentence template is learned as a notice from so many pages, if this share of them hold nothing else.
+#: A sentence template is learned as a notice from so many pages, if this share of them hold a listed one.
 LEARN, SHARE = 5, 0.9
 
 # How templates write a slot.
@@ -75,6 +75,7 @@ CHROME = re.compile(
 )
 TAGS = re.compile(r"(?is)<(?:title|style|script)\b[^>]*>.*?</(?:title|style|script)\s*>|</?[a-z!][^<>]*>")
 SENTENCE = re.compile(r"(?<=[.!?。！？…])(?!\d)\s*")
+WORD = re.compile(r"\w")
 MASK = re.compile(r"\b[A-Z][a-z]+(?:-\d+)?\b|\d+(?:[.,]\d+)*")
 
 
@@ -136,7 +137,7 @@ def sentences_of(text: str) -> tuple[list[int], int]:
                 known += 1
         for s in SENTENCE.split(line.replace("\n", " ")):
             s = s.strip()
-            if not s:
+            if not WORD.search(s):
                 continue
             if KNOWN_SENTENCE.fullmatch(s) or is_filler_latin(s):
                 known += 1
@@ -180,7 +181,7 @@ def found_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     residue = slot.join(variable, "name", "left_semi").select("id")
 
     unknown = docs.withColumn("n", F.size("sentences"))
-    alone = (F.col("known") > 0) & (F.col("n") <= 2)
+    alone = F.col("known") > 0
     templates = unknown.where("n > 0").select(F.explode("sentences").alias("s"), alone.cast("int").alias("alone")).groupBy("s").agg(F.count(F.lit(1)).alias("all"), F.sum("alone").alias("alone"))
     learned = templates.where((F.col("all") >= LEARN) & (F.col("alone") >= SHARE * F.col("all"))).select("s")
     bare = unknown.where("known > 0 and n = 0").select("id")

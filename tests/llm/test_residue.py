@@ -59,3 +59,10 @@ def test_copies_close_no_slot(spark):
     rows = [(i, left) for i in range(4)] + [(10 + i, f"Room {i} is clean. Minutes of [company], room {i}.") for i in range(4)] + [(20, quoted)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.doc_id for r in residue.found_rows(df).collect()} == {0, 1, 2, 3, 10, 11, 12, 13}
+
+
+def test_long_notice_teaches(spark):
+    page = "Access denied. The gate keeper {n} is asleep. Nobody may pass before ray {n} wakes... Knock again at {n}."
+    rows = [(i, page.replace("{n}", str(i))) for i in range(6)] + [(10, "Ann wrote a long letter about lifts.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in residue.found_rows(df).collect()} == set(range(6))
