@@ -1,18 +1,29 @@
 """Template residue, filler and error pages (problem 9).
 
-A possible slot is closed, that is, quoted text, only if its own line explains or instructs how templates are written; that every
-record of a template retains the same bracket closes nothing, however often it is stored. An open slot that retains
-a variable's name is residue; variable names are known ones, and those that the corpus shows in three or more kinds of brackets in
-open slots. Beside slots, whole pages are aligned sentence by sentence: a page is a notice if all its sentences, apart from menu,
-header and footer lines and tags, are notices or filler. The known notices grow by those sentence templates that the corpus repeats on such pages only.
-One Python pass reads each text once; the alignment is grouping and joining in SQL, pre-aggregated before it moves.
+Records are aligned on what they share, and what differs between them is a slot. A possible slot is a bracketed name or a blank;
+its template is the text of its sentence to the left (to the right, where nothing stands left), with the other slots and numbers
+masked. Records with the same template are aligned by grouping: a position that retains brackets of three or more kinds, or that
+other records fill with ordinary words, is a slot of the template, not its syntax. Names that such slots retain are variables' names (if
+most of their own places are slots), and every open place with a variable's name, and every blank in a slot, is residue. A place is
+closed only if its own sentence, or the one before it on its line, explains or instructs how templates are written.
+
+Beside slots, whole pages are aligned: what is no menu, header or footer line and no tag is the body, the rest its frame. A body that comes, but
+for its numbers, in three or more different frames is a notice. Sentences that stand on pages with a notice only are notices as well; that is repeated
+until none is added, so notices that come beside others only are reached as well. A page is a case if all its
+sentences are notices or filler. A few seeds per language let tables that are too small for repetition start; `seeds=False` leaves
+them out, `learn=False` leaves out what is learned.
+
+One Python pass reads each text once; everything after it is grouping and joining in SQL over distinct texts, so copies count once and a
+text that a third of all rows repeat is one row.
 
 Defined results: null, empty and blank texts are no case; repeated rows are judged each; texts are read whole; empty tables give no rows.
+A body of more than NOTICE_LENGTH characters that comes in several frames is taken for a text that several sites show, not for a notice.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,68 +32,70 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import settle
 
-#: Kinds of brackets in which a name must stand in open slots to be taken for a variable's.
-KINDS = 3
-#: Kinds of brackets (counted as in SLOTS, from 1) that no markup uses for its own; only these tell a variable's name.
-OWN_KINDS = (1, 3, 4, 8, 10, 11, 12, 13, 14, 15, 17)
-#: A sentence template is learned as a notice from so many pages, if this share of them hold a listed one.
-LEARN, SHARE = 5, 0.9
+#: Kinds of brackets that a slot must retain in aligned records; only kinds that no markup uses for its own tell (numbers as in SLOTS, from 1).
+KINDS, OWN_KINDS = 3, (1, 3, 4, 8, 10, 11, 12, 13, 14, 15, 17)
+#: Share of a name's places that must be slots; different texts in which a template, a sentence or a body must come; share of a sentence's texts that must hold a notice.
+NAME_SHARE, LEARN, SHARE = 0.5, 3, 0.9
+#: Longest body that is learned from its frames alone.
+NOTICE_LENGTH = 400
 
 # How templates write a slot.
 SLOTS = [
-    r"\$\{\{\s*([^{}\n]{1,40}?)\s*\}\}", r"\{\{\s*([^{}\n]{1,40}?)\s*\}\}", r"\{%\s*([^{}%\n]{1,40}?)\s*%\}", r"\$\{\s*([^{}\n]{1,40}?)\s*\}", r"\{\s*([^{}\n]{1,40}?)\s*\}",
-    r"\[\[\s*([^\[\]\n]{1,40}?)\s*\]\]", r"\[\s*([^\[\]\n]{1,40}?)\s*\]", r"<<\s*([^<>\n]{1,40}?)\s*>>", r"<\s*([^<>\n]{1,40}?)\s*>", r"&lt;\s*([^&\n]{1,40}?)\s*&gt;",
-    r"%\(([^()\n]{1,40})\)s", r"%([^%\s][^%\n]{0,38})%", r"@@([^@\n]{1,40})@@", r"#([^#\s][^#\n]{0,38})#", r"_{3,}\s?\(([^()\n]{1,40})\)", r"__([^_\s][^\n]{0,38}?)__", r"\$([^$\s\d][^$\n]{0,38})\$",
+    r"\$\{\{\s*([^{}\n]+?)\s*\}\}", r"\{\{\s*([^{}\n]+?)\s*\}\}", r"\{%\s*([^{}%\n]+?)\s*%\}", r"\$\{\s*([^{}\n]+?)\s*\}", r"\{\s*([^{}\n]+?)\s*\}",
+    r"\[\[\s*([^\[\]\n]+?)\s*\]\]", r"\[\s*([^\[\]\n]+?)\s*\]", r"<<\s*([^<>\n]+?)\s*>>", r"<\s*([^<>\n]+?)\s*>", r"&lt;\s*([^&\n]+?)\s*&gt;",
+    r"%\(([^()\n]+)\)s", r"%([^%\s][^%\n]*)%", r"@@([^@\n]+)@@", r"#([^#\s][^#\n]*)#", r"_{3,}\s?\(([^()\n]+)\)", r"__([^_\s][^\n]*?)__", r"\$([^$\s\d][^$\n]*)\$",
+    r"(_{3,}|\[[ .…_]*\]|\{\{?\s*\}?\}|<\s+>|\.{5,})",
 ]
-SLOT = re.compile(r"(?=[$\{\[<&%@#_])(?:" + "|".join(SLOTS) + ")")
-NAME = re.compile(r"[^\W\d_](?:[\w .:'-]{0,38}\w)?")
+BLANK = len(SLOTS)
+SLOT = re.compile(r"(?=[$\{\[<&%@#_.])(?:" + "|".join(SLOTS) + ")")
+NAME = re.compile(r"[^\W\d_](?:[\w .:'-]*\w)?")
 HTML_NAME = re.compile(r"(?i)/?(?:a|p|b|i|u|s|h[1-6]|ul|ol|li|dl|dt|dd|td|th|tr|br|hr|em|div|pre|code|span|img|html|head|body|title|table|tbody|thead|script|style|strong|noscript|center|link|meta|form|input|nav|main|header|footer|section|article|sub|sup|font|quote|blockquote|iframe|button|label|svg|path|ref|nowiki|math|gallery)(?:\s.*)?")
-#: Names that templates commonly give their variables, in the languages of the corpus.
-KNOWN = re.compile(
-    r"(?i)(?:(?:your |my |the |first |last |full |user |sur|customer |client |company |project |product |event |order |contact |recipient |sender )?(?:first|last|full|user|given|family)?[ _.]?name|names?|(?:insert|enter|add|type|put|your|fill in) .{2,30}|.{2,30} (?:here|goes here)|TBD\w*|TODO\w*|XXX+|placeholder|"
-    r"(?:due|start|end|order|invoice)?[ _.]?date|amount|price|total|city|country|street|address|e?-?mail|phone|company|recipient|sender|signature|subject|position|job[ _]title|order[ _.]?(?:id|no|number)|invoice[ _.]?(?:id|no|number)|project[ _]name|"
-    r"vorname|nachname|betrag|datum|ort|firma|anrede|empfänger|unterschrift|nombre|apellidos?|fecha|importe|ciudad|empresa|firma|nom|prénom|nom du client|montant|ville|société|destinataire|nome|sobrenome|data|valor|cidade|"
-    r"имя|фамилия|дата|сумма|город|日期|姓名|金额|城市|公司|收件人|签名)"
-)
+# Seeds, names that templates give their variables.
+SEED_NAMES = r"(?i)(?:(?:first|last|full|your|company|project)?[ _.]?name|(?:insert|enter|your|fill in) .+|.+ (?:goes )?here|TBD\w*|TODO\w*|placeholder|company|city|recipient|signature|amount|(?:due[ _.])?date|vorname|nachname|betrag|datum|fecha|nombre|nom(?: du client)?|montant|nome|имя|дата|日期|姓名)"
 #: Instructions that quote a slot, with the slot masked.
 INSTRUCTS = re.compile(r"(?i)\b(?:put|write|type|use|schreiben sie|écrivez|mettez|escriba|ponga|escreva|coloque|напишите)\s+[\"'“„«`]?\x01[\"'”“»`]?,?\s+(?:where(?:ver)?|whenever|instead of|in place of|wo|dort|là où|donde|onde|там,? где)\b|(?:写上|写)\x01(?:的地方|代替)")
 EXPLAINS = re.compile(r"(?i)\b(?:template|placeholder|mail merge|variable|syntax|Vorlage|Platzhalter|plantilla|modèle de document)\b|模板|占位符|шаблон")
 
-# Sentences of notices and filler, whole.
+# Seeds, whole sentences of notices and filler, a few per language.
 NOTICES = [
-    r"(?:please |you need to |you must )?(?:enable|activate|turn on|allow) (?:javascript|scripts|cookies)\b.*", r"javascript (?:is|must be) (?:required|disabled|enabled|turned off)\b.*", r"this (?:page|site|app|application) (?:requires|needs) javascript.*", r"your browser (?:does not|doesn't) support\b.*", r"your browser .{0,60}script.*",
-    r"bitte aktivieren sie javascript.*", r"veuillez activer javascript.*", r"(?:por favor,? )?active javascript.*", r"(?:por favor,? )?ative o javascript.*", r"请启用 ?javascript.*", r"пожалуйста,? включите javascript.*", r"(?:this site|we) .{0,20}(?:down for|under) maintenance.*", r"check back (?:in|later|soon)\b.*",
-    r"(?:error )?[45]\d\d\b.{0,5}(?:not found|bad gateway|internal server error|forbidden|unauthorized|service unavailable|gateway time-?out|bad request|the page you|too many requests|access denied|error)\b.*", r"(?:http )?error \d{3}\b.*", r"错误代码 ?\d+.*", r"page not found.*", r"(?:oops[,!]? ?)?the page (?:you|cannot|can't|does).{0,60}(?:found|exist|moved).*", r"(?:sorry, )?(?:something|an error) (?:went wrong|occurred)\b.*",
-    r"error reference\b.*", r"access (?:is )?denied.*", r"forbidden", r"you (?:do not|don't) have permission\b.*", r"your session (?:has )?(?:expired|timed out)\b.*", r"(?:please )?(?:sign|log) in again\b.*", r"the (?:server|request) (?:met|encountered|could not|timed out)\b.*", r"upstream sent no valid answer", r"(?:the preview|this content|this page|this video|this service) is (?:not available|unavailable)\b.*",
-    r"(?:noscript: )?(?:this|the) .{1,30}(?:needs|requires|works only with|cannot run without) .{0,20}script(?:s|ing)?\b.*", r"turn (?:them|it|scripts|javascript) on in your browser.*", r"esta aplicación necesita .{0,40}scripts.*", r"您的浏览器已禁用.*", r"(?:diese|die) (?:anwendung|seite) (?:benötigt|braucht|läuft|funktioniert) .{0,40}(?:skript|javascript).*", r"cette (?:application|page) (?:nécessite|a besoin de|ne fonctionne) .{0,30}(?:scripts?|javascript).*",
-    r"unable to connect\b.*", r"contact the administrator.*", r"the requested url\b.*", r"support id\b.*", r"oops", r"that link is broken\b.*", r"wartungsarbeiten.*", r"ihnen fehlen die .{0,20}rechte.*", r"vous n['’]avez pas les droits.*", r"travaux de maintenance.*", r"(?:sitio )?en mantenimiento.*", r"(?:系统|网站)维护中?.*",
-    r"we could not load\b.*", r"too many requests.*", r"slow down and try again\b.*", r"(?:please )?(?:try again|reload|refresh)\b.{0,60}", r"seite nicht gefunden.*", r"die (?:seite|adresse|angeforderte).{0,60}(?:nicht|entfernt).*", r"ihre sitzung ist abgelaufen.*", r"bitte melden sie sich (?:neu|erneut) an.*", r"interner serverfehler.*", r"bitte versuchen sie es .*", r"zugriff verweigert.*",
-    r"sie haben keine berechtigung.*", r"page introuvable.*", r"l['’]adresse demandée.*", r"votre session a expiré.*", r"erreur interne du serveur.*", r"réessayez (?:dans|plus).*", r"accès (?:refusé|interdit).*", r"vous n['’]avez pas (?:l['’]autorisation|la permission|le droit).*", r"página no encontrada.*", r"la (?:página|dirección) .{0,60}(?:no existe|no se).*", r"su sesión ha (?:caducado|expirado).*",
-    r"(?:vuelva a )?inici(?:e|ar) sesión.*", r"error interno del servidor.*", r"inténtelo de nuevo.*", r"acceso denegado.*", r"no tiene permiso.*", r"página não encontrada.*", r"sua sessão expirou.*", r"erro interno do servidor.*", r"acesso negado.*", r"tente novamente.*", r"页面不存在.*", r"登录已过期.*", r"服务器内部错误.*", r"(?:访问被拒绝|您没有权限|无权访问|请稍后再试).*", r"страница не найдена.*", r"(?:доступ запрещ[её]н|ошибка сервера|внутренняя ошибка).*", r"ваша сессия истекла.*",
+    r"(?:please |you need to )?(?:enable|activate|turn on) (?:javascript|cookies)\b.*", r"(?:error )?[45]\d\d\b.{0,5}(?:not found|bad gateway|internal server error|the page you)\b.*", r"access (?:is )?denied.*", r"your session (?:has )?(?:expired|timed out)\b.*", r"this site is down for maintenance.*",
+    r"bitte aktivieren sie javascript.*", r"seite nicht gefunden.*", r"ihre sitzung ist abgelaufen.*", r"zugriff verweigert.*", r"interner serverfehler.*",
+    r"veuillez activer javascript.*", r"page introuvable.*", r"votre session a expiré.*", r"accès (?:refusé|interdit).*", r"erreur interne du serveur.*",
+    r"active javascript.*", r"página no encontrada.*", r"su sesión ha (?:caducado|expirado).*", r"acceso denegado.*", r"error interno del servidor.*",
+    r"ative o javascript.*", r"página não encontrada.*", r"sua sessão expirou.*", r"acesso negado.*",
+    r"请启用 ?javascript.*", r"页面不存在.*", r"登录已过期.*", r"访问被拒绝.*", r"服务器内部错误.*",
+    r"включите javascript.*", r"страница не найдена.*", r"доступ запрещ[её]н.*", r"ваша сессия истекла.*",
 ]
 FILLERS = [
-    r"this is (?:a )?placeholder (?:copy|text)\b.*", r"replace (?:it|this|me) with your own\b.*", r"text goes here", r"your text here", r"content coming soon", r"coming soon", r"type something about your page\b.*", r"sample (?:paragraph|text)\b.*", r"headline (?:one|two|three|\d+)", r"(?:body copy ?)+", r"(?:mustertext ?)+", r"das ist ein blindtext.*", r"hier steht (?:später )?ihr text.*",
-    r"bitte durch eigenen text ersetzen.*", r"votre texte ici.*", r"ceci est un faux texte.*", r"paragraphe d['’]exemple.*", r"texto de relleno.*", r"aquí va su texto.*", r"contenido de muestra.*", r"texto de exemplo.*", r"seu texto aqui.*", r"此处填写.*", r"(?:占位文本)+.*", r"示例文字.*", r"здесь будет (?:ваш )?текст.*", r"текст-заполнитель.*",
+    r"this is placeholder (?:copy|text)\b.*", r"text goes here", r"content coming soon", r"headline one", r"das ist ein blindtext.*", r"hier steht (?:später )?ihr text.*",
+    r"votre texte ici.*", r"ceci est un faux texte.*", r"texto de relleno.*", r"aquí va su texto.*", r"texto de exemplo.*", r"此处填写.*", r"(?:占位文本)+.*", r"текст-заполнитель.*",
 ]
-KNOWN_SENTENCE = re.compile("(?is)(?:" + "|".join([*NOTICES, *FILLERS]) + r")[.!?。！？…]*")
+SEED_SENTENCE = re.compile("(?is)(?:" + "|".join([*NOTICES, *FILLERS]) + r")[.!?。！？…]*")
 KEYS = ("asd", "Asd", "ASD", "qwe", "Qwe", "QWE", "jkl", "zxcv", "uiop", "fdsa")
 LOREM = re.compile(r"(?:lorem|ipsum|dolor|situm?$|sit$|amet|conse|adip|elit|eiusm|tempo|tempu|incid|labor|magn|aliqu|viver|lacu|fauc|port[ao]|ferme|morbi|urna|null|bland|pret[io]|salic|congu|est(?:um)?$|veli|ris[ou]|sed$|ut$|et$|non$|in$)")
 WORDS = re.compile(r"[^\W\d_]+")
 MASH = re.compile(r"(?i)\b(?:(?:asdf|qwer(?:ty)?|jkl|hjkl|zxcv|uiop|fdsa|asd|qwe)[a-z]{0,4}\b[ ,;]*){2,}")
 CHROME = re.compile(
     r"(?i)(?:home|menu|men[uú]|login|log ?in|log ?out|sign (?:in|up)|help|search|contact|about(?: us)?|back(?: to (?:start|top|home))?|skip to (?:main )?content|share(?: this page)?|print(?: this page)?|top|next|previous|newsletter|imprint|privacy(?: policy)?|terms(?: of use)?|sitemap|cookies?|impressum|datenschutz|kontakt|startseite|hilfe|suche|anmelden|accueil|aide|recherche|connexion|inicio|ayuda|buscar|contacto|acceder|"
-    r"powered by .{1,60}|(?:©|\(c\)|copyright)\s?.{0,80}|request id:? ?[\w. -]{1,40}|all rights reserved.{0,40})(?:\s*[|•·»>/-]\s*(?:home|search|contact|help|login|menu|about|[^\W\d]{2,14}))*"
+    r"powered by [^.!?。！？]+|(?:©|\(c\)|copyright)[^.!?。！？]*|request id:? ?[\w. -]+|all rights reserved[^.!?。！？]*)(?:\s*[|•·»>/-]\s*(?:home|search|contact|help|login|menu|about|[^\W\d]{2,14}))*"
 )
 TAGS = re.compile(r"(?is)<(?:title|style|script)\b[^>]*>.*?</(?:title|style|script)\s*>|</?[a-z!][^<>]*>")
 SENTENCE = re.compile(r"(?<=[.!?。！？…])(?!\d)\s*")
 WORD = re.compile(r"\w")
-MASK = re.compile(r"\b[A-Z][a-z]+(?:-\d+)?\b|\d+(?:[.,]\d+)*")
+MARK = re.compile(r"[.!?。！？；;](?!\d)")
+PUNCTUATION = re.compile(r"[.,;:!?。！？，；：、]")
+NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+#: Numbers and the Latin words they are part of vary from record to record: times, references, addresses.
+MASK = re.compile(r"[A-Za-z/-]*\d+(?:[A-Za-z/:.,-]*\d+)*")
 
 
 def hash64(text: str) -> int:
     import xxhash
 
-    v = xxhash.xxh64_intdigest(text)
+    return signed(xxhash.xxh64_intdigest(text))
+
+
+def signed(v: int) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
@@ -94,42 +107,63 @@ def is_filler_latin(sentence: str) -> bool:
     return len(words) >= 4 and hits >= 0.75 * len(words) or hits == len(words) > 1
 
 
-def slots_of(text: str) -> Iterator[tuple[str, str, int, str]]:
-    """(context, filler, kind, name) of every possible slot; what may be one beside it is masked in the context."""
+def slots_of(text: str) -> Iterator[tuple[int, int, str, int]]:
+    """(template, kind, name, filled) of every open place: the template's hash, the kind of brackets, what it retains, and the hash of its sentence as other records may fill it."""
+    import xxhash
+
     found = [m for m in SLOT.finditer(text)]
-    for n, m in enumerate(found):
-        name = m.group(m.lastindex)
-        if not NAME.fullmatch(name) or m.lastindex in (9, 10) and HTML_NAME.fullmatch(name):
-            continue
-        begin = max(0, m.start() - 90)
-        left = text[begin : m.start()]
-        for k in range(n - 1, -1, -1):
-            p = found[k]
-            if p.start() < begin:
-                break
-            left = left[: p.start() - begin] + "\x01" + left[p.end() - begin :]
-        left = re.split(r"[.!?。！？；;\n](?!\d)", left)[-1]
-        left = MASK.sub(lambda x: "0" if x.group(0)[0].isdigit() else x.group(0), left).strip()[-24:]
-        right = text[m.end() : m.end() + 24]
-        right = re.split(r"[.!?。！？\n]", SLOT.sub("\x01", right))[0].strip()[:8]
-        before, after = text[max(text.rfind("\n", 0, m.start()), m.start() - 120, 0) : m.start()], text[m.end() : m.end() + 80]
-        if EXPLAINS.search(before + m.group(0) + after) or INSTRUCTS.search(before[-40:] + "\x01" + after[:40]):
-            continue
-        yield (left or "\x02" + right), m.group(0), m.lastindex, name
+    if not found:
+        return
+    pieces, places, at, size = [], [], 0, 0  # the text with every place as one character, and where each stands in it
+    for m in found:
+        pieces += [text[at : m.start()], "\x01"]
+        size += m.start() - at
+        places.append(size)
+        size, at = size + 1, m.end()
+    whole = "".join([*pieces, text[at:]])
+    starts = {0, *(m.end() for m in re.finditer("\n", whole))}
+    marks = sorted({*starts, *(m.end() for m in MARK.finditer(whole)), len(whole) + 1})
+    n = 0
+    while n < len(places):
+        k = bisect_right(marks, places[n])
+        own, stop = marks[k - 1], min(marks[k], len(whole))
+        begin = marks[max(k - 2, 0)] if own not in starts else own
+        last = n
+        while last < len(places) and places[last] < stop:
+            last += 1
+        sentence = whole[own:stop]
+        if not EXPLAINS.search(whole[begin:stop]) and not any(EXPLAINS.search(m.group(0)) for m in found[n:last]) and not INSTRUCTS.search(whole[begin:stop]):
+            filled = hash64(MASK.sub("0", sentence.replace("\x01", "0").strip()))
+            left, at, first = xxhash.xxh64(), own, True
+            for m, i in zip(found[n:last], places[n:last]):
+                left.update(NUMBER.sub("0", whole[at:i].lstrip() if first else whole[at:i]))
+                bare = first and not whole[own:i].strip()
+                at, first = i, False
+                name = m.group(m.lastindex)
+                kind = m.lastindex if name.strip(" \t._…") else BLANK
+                if kind == BLANK:
+                    name = ""
+                elif not NAME.fullmatch(name) or kind in (9, 10) and HTML_NAME.fullmatch(name):
+                    continue
+                template = hash64("\x02" + NUMBER.sub("0", whole[i + 1 : stop]).strip()) if bare else signed(left.intdigest())
+                yield template, kind, name, filled
+        n = last
 
 
-def sentences_of(text: str) -> tuple[list[int], int]:
-    """Hashes of the sentence templates that are neither known nor chrome, and the number of known notices or filler sentences."""
+def page_of(text: str, seeds: bool = True) -> tuple[list[int], int, int, int]:
+    """Hashes of the distinct sentence templates that are no seeds, the number of seeds and filler, the hash of the body (0 if it is none to learn from) and that of its frame."""
     body = TAGS.sub("\n", text) if "<" in text else text
     mash = any(k in body for k in KEYS)
     unknown: set[int] = set()
+    said, frame = [], ["" if body is text else "<>"]
     known = 0
     lines = [x.strip() for x in body.split("\n")]
     first = True
     for n, line in enumerate(lines):
         if not line:
             continue
-        if len(line) < 120 and CHROME.fullmatch(line):
+        if CHROME.fullmatch(line):
+            frame.append(line)
             continue
         if mash:
             line = MASH.sub("\n", line)
@@ -139,54 +173,87 @@ def sentences_of(text: str) -> tuple[list[int], int]:
             s = s.strip()
             if not WORD.search(s):
                 continue
-            if KNOWN_SENTENCE.fullmatch(s) or is_filler_latin(s):
+            if seeds and SEED_SENTENCE.fullmatch(s) or is_filler_latin(s):
                 known += 1
                 first = False
                 continue
-            if len(s) < 100 and CHROME.fullmatch(s.rstrip(".")):
+            if CHROME.fullmatch(s.rstrip(".")):
+                frame.append(s)
                 continue
-            if first and len(s) <= 90 and s[-1] not in ".!?。！？:：;,，" and n + 1 < len(lines) and not lines[n + 1]:
+            if first and not PUNCTUATION.search(s) and n + 1 < len(lines) and not lines[n + 1]:
                 first = False  # a heading
+                frame.append(s)
                 continue
             first = False
+            said.append(s)
             unknown.add(hash64(MASK.sub("0", s)))
-    return list(unknown), known
+    short = said and sum(map(len, said)) <= NOTICE_LENGTH
+    return list(unknown), known, hash64(MASK.sub("0", "\n".join(said))) if short else 0, hash64("\n".join(frame))
 
 
-def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per document: key, known, sentences array<bigint>, slots array<struct>."""
+def scanned(docs: DataFrame, key: str, text: str, seeds: bool = True) -> DataFrame:
+    """One row per document: id, text (its hash), known, body, frame, sentences array<bigint>, slots array<struct>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot_type = pa.list_(pa.struct([("context", pa.string()), ("filler", pa.string()), ("kind", pa.int32()), ("name", pa.string())]))
+        slot_type = pa.list_(pa.struct([("template", pa.int64()), ("kind", pa.int32()), ("name", pa.string()), ("filled", pa.int64())]))
         for batch in batches:
-            sent, known, slot = [], [], []
-            for t in batch.column(1).to_pylist():
-                s, k = sentences_of(t)
-                sent.append(s)
-                known.append(k)
-                slot.append([dict(zip(("context", "filler", "kind", "name"), x)) for x in slots_of(t)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, pa.int32()), pa.array(sent, pa.list_(pa.int64())), pa.array(slot, slot_type)], names=["id", "known", "sentences", "slots"])
+            pages, slots, texts = [], [], batch.column(1).to_pylist()
+            for t in texts:
+                pages.append(page_of(t, seeds))
+                slots.append([dict(zip(("template", "kind", "name", "filled"), x)) for x in slots_of(t)])
+            cols = [pa.array([p[k] for p in pages], kind) for k, kind in ((1, pa.int32()), (2, pa.int64()), (3, pa.int64()), (0, pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(hash64, texts), pa.int64()), *cols, pa.array(slots, slot_type)], names=["id", "text", "known", "body", "frame", "sentences", "slots"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("id"), docs[text].alias("text")).where(F.col("text").rlike(r"\S"))
-    return rows.mapInArrow(run, f"id {kind}, known int, sentences array<bigint>, slots array<struct<context:string,filler:string,kind:int,name:string>>")
+    return rows.mapInArrow(run, f"id {kind}, text bigint, known int, body bigint, frame bigint, sentences array<bigint>, slots array<struct<template:bigint,kind:int,name:string,filled:bigint>>")
+
+
+def learned_slots(texts: DataFrame, said: DataFrame, seeds: bool, learn: bool) -> DataFrame:
+    """Texts with residue: open places with a variable's name, and blanks in slots. `said` has (s, n): sentences and the number of texts they come in."""
+    places = settle(texts.select("text", F.explode("slots").alias("p")).select("text", "p.*"))
+    own = F.when(F.col("kind").isin(*OWN_KINDS), F.expr("shiftleft(1, kind)"))
+    variable = places.where(F.lit(seeds) & F.col("name").rlike(f"^(?:{SEED_NAMES})$")).select("name").distinct()
+    if not learn:
+        return places.join(variable, "name", "left_semi").select("text")
+    # Bits of the kinds combine on the map side, however often a template comes.
+    varied = places.groupBy("template").agg(F.bit_or(own).alias("kinds")).where(F.bit_count("kinds") >= KINDS).select("template")
+    filled = places.select("template", F.col("filled").alias("s")).distinct().join(said.where(F.col("n") >= LEARN), "s", "left_semi").select("template")
+    slots = settle(varied.union(filled).distinct().withColumn("slot", F.lit(1)))
+    judged = settle(places.join(slots, "template", "left"))
+    names = judged.where(f"kind != {BLANK}").groupBy("name").agg(F.bit_or(own).alias("kinds"), (F.count("slot") / F.count(F.lit(1))).alias("share"), F.count("slot").alias("slots"))
+    names = names.where((F.col("share") >= NAME_SHARE) & (F.col("slots") >= LEARN) & (F.bit_count("kinds") >= KINDS)).select("name")
+    retained = judged.join(variable.union(names).distinct(), "name", "left_semi").select("text")
+    return retained.union(judged.where(f"kind = {BLANK} and slot = 1").select("text"))
+
+
+def learned_pages(texts: DataFrame, spoken: DataFrame, said: DataFrame) -> DataFrame:
+    """Sentences (s) of notices: of bodies in several frames, and those that come on pages with a notice only."""
+    bodies = texts.where("body != 0").groupBy("body", "frame").agg(F.first("sentences").alias("sentences")).groupBy("body").agg(F.count(F.lit(1)).alias("frames"), F.first("sentences").alias("sentences"))
+    known = settle(bodies.where(F.col("frames") >= LEARN).select(F.explode("sentences").alias("s")).distinct())
+    often = settle(spoken.join(said.where(F.col("n") >= LEARN), "s"))
+    seeded = spoken.where("known > 0").select("text").distinct()
+    while True:
+        pages = often.join(known, "s", "left_semi").select("text").union(seeded).distinct()
+        more = often.join(pages, "text", "left_semi").groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= SHARE * F.col("n")).select("s")
+        new = settle(more.join(known, "s", "left_anti"))
+        if new.isEmpty():
+            return known
+        known = settle(known.union(new))
 
 
-def found_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def found_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", seeds: bool = True, learn: bool = True) -> DataFrame:
     """Distinct keys of the documents that are template residue, filler, error pages or notices."""
-    docs = settle(scanned(docs, key, text))
-    slot = docs.select("id", F.explode("slots").alias("s")).select("id", "s.*")
-    names = slot.groupBy("name").agg(F.count_distinct(F.when(F.col("kind").isin(*OWN_KINDS), F.col("kind"))).alias("kinds"))
-    variable = names.where((F.col("kinds") >= KINDS) | F.col("name").rlike(f"^(?:{KNOWN.pattern})$")).select("name")
-    residue = slot.join(variable, "name", "left_semi").select("id")
-
-    unknown = docs.withColumn("n", F.size("sentences"))
-    alone = F.col("known") > 0
-    templates = unknown.where("n > 0").select(F.explode("sentences").alias("s"), alone.cast("int").alias("alone")).groupBy("s").agg(F.count(F.lit(1)).alias("all"), F.sum("alone").alias("alone"))
-    learned = templates.where((F.col("all") >= LEARN) & (F.col("alone") >= SHARE * F.col("all"))).select("s")
-    bare = unknown.where("known > 0 and n = 0").select("id")
-    rest = unknown.where("n > 0").select("id", "n", F.explode("sentences").alias("s")).join(learned, "s", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("seen")).where("seen = n").select("id")
-    return residue.union(bare).union(rest).distinct().select(F.col("id").alias(key))
+    docs = settle(scanned(docs, key, text, seeds))
+    texts = settle(docs.groupBy("text").agg(*[F.first(c).alias(c) for c in ("known", "body", "frame", "sentences", "slots")]))
+    spoken = texts.where(F.size("sentences") > 0).select("text", "known", F.size("sentences").alias("of"), F.explode("sentences").alias("s"))
+    said = settle(spoken.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEARN))
+    hit = learned_slots(texts, said, seeds, learn).union(texts.where("known > 0 and size(sentences) = 0").select("text"))
+    if learn:
+        notices = learned_pages(texts, spoken, said)
+        whole = spoken.join(notices, "s", "left_semi").groupBy("text").agg(F.first("of").alias("of"), F.count(F.lit(1)).alias("k")).where("k = of").select("text")
+        hit = hit.union(whole)
+    return docs.join(hit.distinct(), "text", "left_semi").select(F.col("id").alias(key)).distinct()
 
 
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

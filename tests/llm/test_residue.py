@@ -66,3 +66,37 @@ def test_long_notice_teaches(spark):
     rows = [(i, page.replace("{n}", str(i))) for i in range(6)] + [(10, "Ann wrote a long letter about lifts.")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.doc_id for r in residue.found_rows(df).collect()} == set(range(6))
+
+
+def test_slots_are_induced_without_seeds(spark):
+    brackets = ["{{%s}}", "[[%s]]", "<<%s>>", "@@%s@@", "${%s}", "%%%s%%"]
+    rows = [(i, f"Report of the keeper {brackets[i % 6] % 'zorblax'}, room {i}. All is well.") for i in range(12)]
+    rows += [(20, "We met in May. The wall is green and {{zorblax}} is not."), (21, "Report of the keeper ______, room 3.")]  # the name elsewhere, a blank in the slot
+    rows += [(30 + i, f"path: ${{ROOT}}/{i}\nuse {{other{i}}} = 1") for i in range(5)] + [(40, "We met in June. ______ is a line."), (41, "Only {{once}} here and there.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = lambda **k: {r.doc_id for r in residue.found_rows(df, **k).collect()}
+    assert found(seeds=False) == {*range(12), 20, 21}
+    assert found(seeds=False, learn=False) == set()
+
+
+def test_filled_records_show_the_slot(spark):
+    rows = [(i, f"Dear guest number {i}, welcome.") for i in range(4)] + [(10, "Dear guest number ______, welcome."), (11, "Dear friend ______, welcome.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in residue.found_rows(df, seeds=False).collect()} == {10}
+
+
+def test_pages_in_several_frames_are_notices_without_seeds(spark):
+    gate = "The gate keeper is asleep at {n}. Knock again."
+    frames = ["{}", "Menu\nLogin\n{}", "<p>{}</p>", "{}\n© Ann team", "Home | Search\n{}"]
+    rows = [(i, f.format(gate.replace("{n}", str(i)))) for i, f in enumerate(frames)]
+    rows += [(10 + i, f"Knock again. The roof leaks, room {i}.") for i in range(3)]  # reached from its neighbour, but that stands elsewhere as well
+    rows += [(20, "The roof leaks, room 5."), (21, "The roof leaks, room 6."), (22, "Ann wrote that the gate keeper is asleep.")]
+    rows += [(30 + i, f.format("A long tale of the hall. " * 30)) for i, f in enumerate(frames)]  # syndicated text
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in residue.found_rows(df, seeds=False).collect()} == set(range(5))
+    assert residue.found_rows(df, seeds=False, learn=False).count() == 0
+
+
+def test_long_line_with_many_places(spark):
+    df = spark.createDataFrame([(1, "{a} " * 50000 + "{{first_name}}")], "doc_id bigint, text string")
+    assert [r.doc_id for r in residue.found_rows(df).collect()] == [1]
