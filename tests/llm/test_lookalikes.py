@@ -45,3 +45,25 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "row_id bigint, content string")
     assert lookalikes.found_rows([(df, "row_id", "content", "content")]).count() == 0
     assert lookalikes.normalized([(df, "row_id", "content", "content")]).count() == 0
+
+
+def test_classes_of_the_collation_choose_what_occurs(spark):
+    texts = ["genealógico y largo", "genealógico", "Ab​lage", "Die Ablage", "ráro", "РНКС 访谈"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, content string")
+    rows = lambda **k: {r.row_id for r in lookalikes.found_rows([(df, "row_id", "content", "content")], **k).collect()}
+    assert rows() == {1, 2, 4, 5}
+    assert rows(spell=False) == {1, 2, 5}  # no composed form of the fifth occurs
+    assert rows(spell=False, collation="UTF8_BINARY") == {5}
+
+
+def test_look_alikes_are_those_of_unicode(spark):
+    table = lookalikes.twins()
+    assert {"а": "a", "Ѕ": "S", "ё": "ë", "ԝ": "w"}.items() <= table["cyrillic"].items() and "г" not in table["cyrillic"]
+    assert table["greek"]["ο"] == "o" and "α" not in table["greek"] and table["armenian"]["օ"] == "o"
+
+
+def test_words_of_twins_only(spark):
+    texts = ["gate с 1 2 3", "ВЕН 2031 ------------------------ hall", "ΑΒΕ gate", "сор", "Wi-Fi с Anna дома", "а с сор", "size Α and Β"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, content string")
+    got = {r.row_id: r.normalized for r in lookalikes.normalized([(df, "row_id", "content", "content")]).collect()}
+    assert got == {0: "gate c 1 2 3", 1: "BEH 2031 ------------------------ hall", 2: "ABE gate"}
