@@ -15,8 +15,8 @@ def flagship(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return core.QUERIES | {"p6_found": increment.p6_found}
+    return core.QUERIES | {"p6_found": increment.p6_found, "p6_state": increment.p6_state}
 
 
 def oracle_sql() -> dict[str, str]:
-    return core.SQL | {"p6_found": increment.P6_SQL}
+    return core.SQL | {"p6_found": increment.P6_SQL, "p6_state": increment.P6_STATE_SQL}

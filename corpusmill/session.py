@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,13 +15,15 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where it is unset, as in tests."""
+    """The folder all executors share, from spark.checkpoint.dir; unset, a local session takes one of its own and any other is an error."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = "file://" + os.path.join(tempfile.gettempdir(), f"corpusmill-{os.getpid()}")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -35,11 +37,6 @@ def settle(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder for a table an operator writes and reads again."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a part if the input has fewer splits than there are cores; larger inputs stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
