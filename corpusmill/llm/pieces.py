@@ -1,12 +1,15 @@
 """Splitting oversized or badly overlapping pieces at natural boundaries (problem 3).
 
-Faulty rows are marked first: one equi-join of every row with the end of the piece before it, keyed by source, item and
-ordinal, so that an item with a third of all rows still spreads over all tasks. Each faulty row is then cut on its own: its text
+Faulty rows are marked first: rows that are too long by themselves, badly overlapping ones by an equi-join of the beginnings of rows with the ends of the pieces before them, keyed by source, item and
+ordinal, so that an item with a third of all rows still spreads over all tasks; only beginnings and ends of the length of the greatest overlap move. Each faulty row is then cut on its own: its text
 becomes atomic segments with a boundary strength between neighbours, a heap merges the weakest boundary first as long as
 the joined size plus the overlap fits, and what is left are pieces that end at the strongest boundaries. Every piece after
 the first begins with the last `overlap` characters of the piece before it. New ordinals are a prefix sum in two levels
 (blocks of an item, rows of a block), so no task holds a whole item.
 
+No character is lost: the pieces without what each repeats are the text, but for what the text itself repeats of the piece before it. A
+repeat is taken for one if it has REPEAT characters of VARIED kinds or more, or is the whole overlap that the setting asks for.
+
 Defined results: null content has no fault and gives no piece, empty content one empty piece; a file_type without its own
 setting, and null, take the `default` row, or DEFAULT where that is missing; a size below 1 counts as missing, an overlap is
 held between 0 and half the size; several settings of one type give the smallest size; rows stored twice (same source,
@@ -24,8 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import settle
+
 #: Size and overlap where no setting exists at all.
 DEFAULT = (1024, 100)
+#: Characters, and different ones among them, from which on a text's beginning counts as repeated from the piece before.
+REPEAT, VARIED = 16, 6
+#: Bytes of faulty rows' marks up to which they are sent to every task.
+SMALL = 32 << 20
 #: Ordinals of one block of the prefix sum.
 BLOCK = 512
 #: Boundaries from strong to weak; a text is first cut at all of them down to the clause.
@@ -91,16 +100,31 @@ def merge(parts: list[str], strength: list[float], budget: int) -> list[str]:
     return ["".join(text[i]) for i in range(n) if alive[i]]
 
 
+def repeated(before: str, text: str, overlap: int) -> int:
+    """Characters at the beginning of `text` that repeat the end of `before`: the longest run that can't have come about by accident."""
+    # The longest suffix of `before` that is a prefix of `text`, and the shorter ones, by the prefix function: linear in both.
+    joined = text[: len(before)] + "\0\0" + before[-len(text) :] if text else ""
+    border = [0] * len(joined)
+    for i in range(1, len(joined)):
+        k = border[i - 1]
+        while k and joined[i] != joined[k]:
+            k = border[k - 1]
+        border[i] = k + (joined[i] == joined[k])
+    k = border[-1] if border else 0
+    while k:
+        if k == overlap or k >= REPEAT and len(set(text[:k])) >= VARIED:
+            return k
+        k = border[k - 1]
+    return 0
+
+
 def split_text(text: str, size: int, overlap: int, before: str | None = None) -> list[str]:
     """Pieces of `text` within `size`; `before` is the end of the preceding piece, which the first piece is to repeat."""
     overlap = max(0, min(overlap, size // 2))
     lead = ""
     if before and overlap:
         lead = before[-overlap:]
-        for k in range(min(len(before), len(text)), 0, -1):  # what the text already repeats isn't repeated again
-            if before.endswith(text[:k]):
-                text = text[k:]
-                break
+        text = text[repeated(before, text, overlap) :]
     if len(lead) + len(text) <= size:
         return [lead + text]
     parts, strength = atoms(text, size - overlap)
@@ -146,9 +170,9 @@ def marked(chunks: DataFrame, settings: DataFrame) -> DataFrame:
 
 def resplit(chunks: DataFrame, settings: DataFrame) -> DataFrame:
     """Faulty rows: row_id, source, item_id, ordinal, fault array<string>, pieces array<string>."""
-    faults = marked(chunks, settings)
-    texts = with_settings(chunks.select("row_id", "source", "item_id", "ordinal", "file_type", "content"), settings)
-    work = texts.join(faults, "row_id").select("row_id", "source", "item_id", "ordinal", "fault", "before", "__size", "__overlap", "content")
+    faults = settle(marked(chunks, settings))
+    texts = with_settings(chunks.select("row_id", "source", "item_id", "ordinal", "file_type", "content").where("content is not null"), settings)
+    work = texts.join(small(faults), "row_id").select("row_id", "source", "item_id", "ordinal", "fault", "before", "__size", "__overlap", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,24 +184,32 @@ def resplit(chunks: DataFrame, settings: DataFrame) -> DataFrame:
     return work.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", fault array<string>, pieces array<string>")
 
 
+def small(faults: DataFrame) -> DataFrame:
+    """`faults`, to be sent to every task if they were measured and found small, so that no text moves; larger ones are joined by key."""
+    size = faults.agg((F.coalesce(F.sum(F.length("before") * 4), F.lit(0)) + F.count(F.lit(1)) * 64).alias("n")).first().n
+    return F.broadcast(faults) if (size or 0) <= SMALL else faults
+
+
 def found_rows(chunks: DataFrame, settings: DataFrame) -> DataFrame:
+    """Distinct (row_id, fault) of the rows that were cut anew."""
     return resplit(chunks, settings).select("row_id", F.explode("fault").alias("fault")).distinct()
 
 
 def all_pieces(chunks: DataFrame, settings: DataFrame) -> DataFrame:
-    """Every item as pieces within the size: source, item_id, ordinal (consecutive from 0), row_id, content."""
-    new = resplit(chunks, settings).select("row_id", "pieces")
-    key = [F.col("source"), F.col("item_id")]
-    first = Window.partitionBy("source", "item_id", "ordinal", F.xxhash64("content"), "content").orderBy("row_id")
-    base = chunks.where("content is not null").select("row_id", "source", "item_id", "ordinal", "content").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    rows = base.join(new, "row_id", "left").withColumn("pieces", F.coalesce("pieces", F.array("content"))).drop("content")
-    rows = rows.withColumn("__block", F.floor(F.coalesce("ordinal", F.lit(0)) / BLOCK)).withColumn("__k", F.size("pieces"))
+    """Every item as pieces within the size: source, item_id, ordinal (consecutive from 0), row_id, content. Texts move once, by row_id."""
+    new = settle(resplit(chunks, settings).select("row_id", "pieces").dropDuplicates(["row_id"]))
+    base = chunks.select(*[chunks[c] for c in ("row_id", "source", "item_id", "ordinal", "content")]).where("content is not null")
+    # Rows stored twice are told by 128 bits of their texts.
+    rows = base.groupBy("source", "item_id", "ordinal", F.xxhash64("content"), F.xxhash64(F.reverse("content"))).agg(F.min("row_id").alias("row_id")).select("source", "item_id", "ordinal", "row_id")
+    rows = rows.join(new.select("row_id", F.size("pieces").alias("__k")), "row_id", "left").withColumn("__k", F.coalesce("__k", F.lit(1)))
+    rows = settle(rows.withColumn("__block", F.floor(F.coalesce("ordinal", F.lit(0)) / BLOCK)))
     blocks = rows.groupBy("source", "item_id", "__block").agg(F.sum("__k").alias("__sum"))
     blocks = blocks.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.partitionBy("source", "item_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     b = blocks.select(F.col("source").alias("bs"), F.col("item_id").alias("bi"), F.col("__block").alias("bb"), "__before")
     rows = rows.join(b, F.expr("source <=> bs and item_id <=> bi and __block = bb")).drop("bs", "bi", "bb")
-    inner = Window.partitionBy(*key, "__block").orderBy(F.col("ordinal").asc_nulls_first(), "row_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__from", F.col("__before") + F.coalesce(F.sum("__k").over(inner), F.lit(0)))
-    return rows.select("source", "item_id", "row_id", "__from", F.posexplode("pieces").alias("__p", "content")).select(
-        "source", "item_id", (F.col("__from") + F.col("__p")).cast("int").alias("ordinal"), "row_id", "content"
+    inner = Window.partitionBy("source", "item_id", "__block").orderBy(F.col("ordinal").asc_nulls_first(), "row_id").rowsBetween(Window.unboundedPreceding, -1)
+    places = rows.select("row_id", (F.col("__before") + F.coalesce(F.sum("__k").over(inner), F.lit(0))).alias("__from"))
+    whole = base.select("row_id", "source", "item_id", "content").join(places, "row_id").dropDuplicates(["row_id"]).join(new, "row_id", "left")
+    return whole.select("source", "item_id", "row_id", "__from", F.posexplode(F.coalesce("pieces", F.array("content"))).alias("__p", "piece")).select(
+        "source", "item_id", (F.col("__from") + F.col("__p")).cast("int").alias("ordinal"), "row_id", F.col("piece").alias("content")
     )

@@ -33,9 +33,27 @@ def test_cuts_at_the_strongest_boundary():
 
 
 def test_overlap_repair_keeps_what_is_repeated():
-    before = "abcdefghij"
-    assert pieces.split_text("hijklm", 50, 5, before) == ["fghijklm"]
-    assert pieces.split_text("klm", 50, 5, before) == ["fghijklm"]
+    before = "One long way to the old mill by the river"
+    assert pieces.split_text("the old mill by the river is closed.", 80, 8, before) == ["he river is closed."]
+    assert pieces.split_text("e river is closed.", 80, 8, before) == ["he rivere river is closed."]  # too short to be told from an accident
+    assert pieces.split_text(" river is closed.", 80, 6, before) == [" river is closed."]  # the whole overlap
+
+
+def test_an_accidental_repeat_is_kept():
+    assert pieces.split_text("apple", 100, 20, "banana") == ["bananaapple"]
+    assert pieces.split_text("-" * 30 + "x", 100, 5, "y" + "-" * 40) == ["-" * 30 + "x"]  # only the overlap itself is taken off
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abcdefgh .\n", min_size=0, max_size=120), st.text(alphabet="abcdefgh .\n", min_size=0, max_size=120), st.integers(10, 60), st.integers(0, 30))
+def test_nothing_is_lost_behind_another_piece(before, text, size, overlap):
+    overlap = min(overlap, size // 2)
+    parts = pieces.split_text(text, size, overlap, before)
+    lead = min(overlap, len(before))
+    whole = parts[0][lead:] + "".join(b[min(overlap, len(a)) :] for a, b in zip(parts, parts[1:]))
+    k = len(text) - len(whole)
+    assert whole == text[k:] and k >= 0
+    assert k == 0 or before.endswith(text[:k]) and (k == overlap or k >= pieces.REPEAT)
 
 
 def brute(rows, conf):
