@@ -3,8 +3,9 @@
 A garbled stretch is re-encoded under a candidate legacy encoding and strictly decoded as the encoding that was meant;
 this repeats for nested layers and is accepted only while a garbling cost drops. Stretches are found in character space:
 for each legacy encoding the characters of UTF-8 lead and continuation bytes form a pattern, so a text that is garbled only
-in places is repaired there and nowhere else. Single-byte Cyrillic and double-byte Chinese read as Western text, and UTF-8
-read as a Chinese encoding, have patterns of their own. Characters that were lost (a question mark or U+FFFD in place of
+in places is repaired there and nowhere else. Single-byte Cyrillic read as Western text or as another Cyrillic encoding, double-byte Chinese, Japanese
+and Korean read as Western text, UTF-8 read as a Chinese encoding, and UTF-16 read byte by byte or in the wrong order have patterns of their own; all are accepted by
+the cost alone. Layers are undone until the cost drops no further, however many there are. Characters that were lost (a question mark or U+FFFD in place of
 a byte) make a value a case, but are left where nothing tells what they were.
 
 Defined results: null, empty and ASCII values are no case and stay as they are; repeated rows come out each; texts are
@@ -13,6 +14,7 @@ scanned whole whatever their length.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 
 #: Legacy encodings whose misuse for UTF-8 is looked for; "sloppy" ones keep undefined bytes as control characters.
 SINGLE_BYTE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "mac_roman", "cp850", "iso8859_2", "cp1254")
-LAYERS = 4
 #: What can hold a case at all: anything else never reaches Python.
-SUSPECT = r"[^\x00-\x7F]{2}|[\x{80}-\x{9F}\x{FFFD}]|[ÂÃÄÅÐÑâäåæçèé]\?|[a-zA-Z]\p{IsHan}+[a-zA-Z]"
-LOST = re.compile(r"�|[ÃÂÐÑ]\?(?=[a-zà-ÿA-Z ])|(?:ï¿½)")
+SUSPECT = r"\x00|[^\x00-\x7F]{2}|[\x{80}-\x{9F}\x{FFFD}]|[ÂÃÄÅÐÑâäåæçèé]\?|[a-zA-Z]\p{IsHan}+[a-zA-Z]"
+#: Signs of lost characters: substitutes, half sequences, and substitutes that went through UTF-8 and GBK once more.
+LOST = re.compile(r"�|锟斤|斤拷|拷锟|[ÃÂÐÑ]\?(?=[a-zà-ÿA-Z ])|(?:ï¿½)")
 CYRILLIC = re.compile("[Ѐ-џ]")
 COMMON_CYRILLIC = frozenset("абвгдежзийклмнопрстуфхцчшщъыьэюяёАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ")
 COMMON_LATIN = frozenset("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŒšžŠŽčćşğıłńśźżąęőűřěůďťňăâîșț")
@@ -57,6 +59,12 @@ def char_cost(ch: str) -> float:
     return 4.0
 
 
+#: Frequencies of Russian letters in percent, the least common ones last.
+RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (10.97, 8.45, 8.01, 7.35, 6.70, 6.26, 5.47, 4.73, 4.54, 4.40, 3.49, 3.21, 2.98, 2.81, 2.62, 2.01, 1.90, 1.74, 1.70, 1.65, 1.59, 1.44, 1.21, 0.97, 0.94, 0.73, 0.64, 0.48, 0.36, 0.32, 0.26, 0.04, 0.04)))
+#: Single-byte Cyrillic encodings that are taken for each other.
+CYRILLIC_BYTE = ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic")
+
+
 STACKED = re.compile("[À-ÿ]{3}")
 
 
@@ -65,6 +73,12 @@ def cost(text: str) -> float:
     return sum(map(char_cost, text)) + 1.5 * len(STACKED.findall(text))
 
 
+def cyrillic_cost(word: str) -> float:
+    """Garbling cost of a Cyrillic word by the frequency of its letters and its case: capitals behind small letters are dear."""
+    letters = sum(-math.log(RUSSIAN.get(c, 0.01) / 100) if c.isalpha() else 8.0 for c in word.lower())
+    return letters + 3.0 * sum(a.islower() and b.isupper() for a, b in zip(word, word[1:]))
+
+
 class Legacy:
     """One single-byte encoding: the pattern of UTF-8 sequences seen through it, and the way back to bytes."""
 
@@ -102,26 +116,37 @@ PAIRS = re.compile("(?:[°-÷][¡-þ])+|[¡-©][¡-þ]")
 WEST_BYTE = LEGACY[0].byte
 CYR_WORD = re.compile("(?<![A-Za-zÀ-ÿ])[À-ÿ¸¨]{3,}(?![A-Za-zÀ-ÿ])")
 CYR_ANY = re.compile("(?<![A-Za-z])[À-ÿ¸¨]+(?![A-Za-z])")
+#: Runs of Cyrillic letters, and of the signs that other encodings have in their places.
+CYR_RUN = re.compile("[Ѐ-џ\u0490\u0491ЂЃѓЉЊЌЋЏђљњќћџ°-¿─-╿▀-▟§¤®©™£•№]*[Ѐ-џ][Ѐ-џ\u0490\u0491°-¿─-╿▀-▟§¤®©™£•№]*")
+#: UTF-16 read as single bytes, and with low and high bytes exchanged: letters of ASCII in the high byte.
+NULLS = re.compile("(?:[^\x00]\x00){3,}|(?:\x00[^\x00]){3,}")
+SWAPPED = re.compile("[" + "".join(chr(o << 8) for o in (*range(0x20, 0x7F), 0x0A)) + "]{4,}")
 #: UTF-8 read as GBK: runs of what that encoding gives, and single ideographs inside Western words.
 HAN = re.compile("[㐀-鿿豈-﫿　-ㄯ＀-￯Α-ωЁ-ё‐-♂-�€]{2,}")
 INSIDE = re.compile("(?<=[a-z])[一-鿿]{1,2}(?=[a-z])")
 
 
+@lru_cache(maxsize=50_000)
 def plausible(new: str) -> bool:
-    """Whether a decoded stretch holds ordinary characters, or is a garbled stretch of the next layer."""
+    """Whether a decoded stretch holds ordinary characters, or is a garbled stretch of the next layer, however many follow."""
     dear = max(map(char_cost, new))
     if dear <= 1.5 or len(new) >= 3 and dear < 4:
         return True
-    return any(e.pattern.fullmatch(new) and (inner := e.back(new)) is not None and max(map(char_cost, inner)) <= 1.5 for e in LEGACY)
+    return any(e.pattern.fullmatch(new) and (inner := e.back(new)) is not None and len(inner) < len(new) and (max(map(char_cost, inner)) <= 1.5 or e.pattern.search(inner) and plausible(inner)) for e in LEGACY)
+
+
+#: A capital behind a small letter, or a rare pair of capitals: a word that another Cyrillic encoding may have made.
+ODD_CYRILLIC = re.compile("[а-яёѓ-џ][А-ЯЁЂ-Џ]|[А-ЯЁЂ-Џ]{4}|[°-¿─-╿▀-▟][Ѐ-џ]|[Ѐ-џ][°-¶¸¹¼-¿─-╿▀-▟]")
+HALF = re.compile(r"(?<=[a-z])Ã\?(?=[a-z])")
 
 
 def utf8_as_legacy(text: str, chars: frozenset[str]) -> str:
-    """Undo one layer of UTF-8 read as a single-byte encoding; the encoding with the lowest cost over the text wins."""
-    best, low = text, 0.0
+    """Undo one layer of UTF-8 read as a single-byte encoding; the encoding that explains most characters wins, among equal ones that with the greatest drop of the cost."""
+    best, low = text, (0, 0.0)
     for e in LEGACY:
         if not (chars & e.lead and chars & e.tail):
             continue
-        gain = 0.0
+        gain, taken = 0.0, 0
         out, at = [], 0
         for m in e.pattern.finditer(text):
             old = m.group(0)
@@ -135,13 +160,75 @@ def utf8_as_legacy(text: str, chars: frozenset[str]) -> str:
             if drop <= 0.3 or not plausible(new):
                 continue
             gain += drop
+            taken += len(old)
             out += [text[at : m.start()], new]
             at = m.end()
-        if gain > low:
-            best, low = "".join(out) + text[at:], gain
+        if gain > 0 and (taken, gain) > low:
+            best, low = "".join(out) + text[at:], (taken, gain)
     return best
 
 
+def other_double(old: str, data: bytes) -> str:
+    """Japanese, Korean or traditional Chinese text of three letters or more that was read as a Western encoding; only common rows of the encoding count."""
+    if len(data) < 6:
+        return old
+    for name, lo, hi in (("euc_jp", 0xA4, 0xCF), ("euc_kr", 0xB0, 0xC8), ("big5", 0xA4, 0xC6)):
+        try:
+            new = data.decode(name)
+        except UnicodeDecodeError:
+            continue
+        if all(len(b := c.encode(name)) == 2 and lo <= b[0] <= hi for c in new) and len(new) < cost(old):
+            return new
+    return old
+
+
+def cyrillic_as_cyrillic(text: str) -> str:
+    """Undo one single-byte Cyrillic encoding read as another, word by word; short words go with a repaired neighbour."""
+    best, low = text, 0.0
+    spans = [m.span() for m in CYR_RUN.finditer(text)]
+    if not spans:
+        return text
+    for read in CYRILLIC_BYTE:
+        for meant in CYRILLIC_BYTE:
+            if read == meant:
+                continue
+            news, gains = [], []
+            for i, j in spans:
+                old = text[i:j]
+                try:
+                    new = old.encode(read).decode(meant)
+                except UnicodeError:
+                    new = old
+                proper = all(c in COMMON_CYRILLIC for c in new) and new[1:] in (new[1:].lower(), new[1:].upper())
+                news.append(new if proper else old)
+                gains.append(cyrillic_cost(old) - cyrillic_cost(new) if proper and new != old else 0.0)
+            sure = [g >= max(4.0, 0.8 * (j - i)) and j - i >= 4 for g, (i, j) in zip(gains, spans)]
+            # Capitals behind a small letter tell a sentence's first word; without one, a single word may be a code in capitals.
+            if sum(sure) < 3 and not any(ok and re.search("[а-яё][А-ЯЁ]|[^Ѐ-џ]", text[i:j]) for ok, (i, j) in zip(sure, spans)):
+                continue
+            for _ in (0, 1):  # from a repaired word to those beside it, both ways: capitals that become ordinary words
+                for k in range(1, len(sure)):
+                    old, new = text[slice(*spans[k])], news[k]
+                    sure[k] = sure[k] or sure[k - 1] and gains[k] > -4 and not (old.islower() or old.istitle() and len(old) > 1) and (new.islower() or new.istitle())
+                sure, gains, news, spans = sure[::-1], gains[::-1], news[::-1], spans[::-1]
+            gain = sum(g for g, ok in zip(gains, sure) if ok)
+            if gain > low:
+                out, at = [], 0
+                for (i, j), new, ok in zip(spans, news, sure):
+                    if ok:
+                        out += [text[at:i], new]
+                        at = j
+                best, low = "".join(out) + text[at:], gain
+    return best
+
+
+def utf16_slip(text: str) -> str:
+    """Undo UTF-16 read byte by byte, or with its bytes in the wrong order."""
+    text = NULLS.sub(lambda m: m.group(0).replace("\x00", ""), text)
+    swapped = lambda m: m.group(0).encode("utf-16-le").decode("utf-16-be")
+    return SWAPPED.sub(lambda m: new if cost(new := swapped(m)) < cost(m.group(0)) else m.group(0), text)
+
+
 def double_as_west(text: str) -> str:
     """Undo GBK, or single-byte Cyrillic, read as a Western encoding."""
 
@@ -156,8 +243,8 @@ def double_as_west(text: str) -> str:
             try:  # the run may have lost a byte at an end
                 new = data[:-1].decode("gbk") + old[-1]
             except UnicodeDecodeError:
-                return old
-        return new if cost(new) / len(data) < 0.75 and (m.re is PAIRS or sum(0x4E00 <= ord(c) <= 0x9FFF for c in new) >= 2) else old
+                return other_double(old, data)
+        return new if cost(new) / len(data) < 0.75 and (m.re is PAIRS or sum(0x4E00 <= ord(c) <= 0x9FFF for c in new) >= 2) else other_double(old, data)
 
     def word(m: re.Match) -> str:
         old = m.group(0)
@@ -206,18 +293,18 @@ def utf8_as_double(text: str) -> str:
             new = m.group(0).encode("gbk").decode("utf-8")
         except (UnicodeDecodeError, UnicodeEncodeError):
             return m.group(0)
-        return new if all(c in COMMON_LATIN and c != "ÿ" for c in new) else m.group(0)
+        return new if all(c in COMMON_LATIN and c != "ÿ" for c in new) and cost(new) < cost(m.group(0)) + 0.5 else m.group(0)
 
     return INSIDE.sub(inside, HAN.sub(run, text))
 
 
 def repair(text: str | None) -> tuple[str | None, bool]:
     """The restored text and whether any part had been decoded wrongly."""
-    if not text or text.isascii():
+    if not text or text.isascii() and "\x00" not in text:
         return text, False
     found = LOST.search(text) is not None
     now = text
-    for _ in range(LAYERS):
+    while True:
         new = utf8_as_legacy(now, frozenset(now))
         if WEST.search(now):
             other = double_as_west(now)
@@ -225,11 +312,17 @@ def repair(text: str | None) -> tuple[str | None, bool]:
                 new = other
         if new == now:
             new = utf8_as_double(now)
-        if new == now:
+        if new == now and ("\x00" in now or SWAPPED.search(now)):
+            new = utf16_slip(now)
+        if new == now and ODD_CYRILLIC.search(now):
+            new = cyrillic_as_cyrillic(now)
+            if new != now:
+                return new, True
+        if new == now or len(new) > len(now):  # every layer of the others shortens the text
             break
         now, found = new, True
-    if found:  # where a case is certain, a lost soft hyphen byte inside a lower-case word can only have been this letter
-        now = re.sub(r"(?<=[a-z])Ã\?(?=[a-z])", "í", now)
+    if found:  # a byte lost inside a lower-case word, where the letter it makes costs less than the two signs left of it
+        now = HALF.sub(lambda m: "í" if cost("í") < cost(m.group(0)) else m.group(0), now)
     return now, found
 
 
