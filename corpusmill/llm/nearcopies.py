@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from math import comb
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.session import settle
@@ -99,33 +99,6 @@ class Sketcher:
         return ((low ^ (low >> np.uint64(29))) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
 
-    def sketch(self, signature):
-        """Two bits of each symbol, 31 symbols to a word: a filter of colliding pairs that travels with the keys."""
-        np = self.np
-        bits = (signature.view(np.uint32).astype(np.uint64) >> np.uint64(7)) & np.uint64(3)
-        words = []
-        for i in (0, 31):
-            part = bits[i : i + 31]
-            words.append(int((part << (np.arange(len(part), dtype=np.uint64) * np.uint64(2))).sum(dtype=np.uint64)))
-        return words
-
-
-def agreeing(x1: Column, y1: Column, x2: Column, y2: Column, symbols: int) -> Column:
-    """Symbols that are equal in the sketches of two texts."""
-
-    def differ(x: Column, y: Column) -> Column:
-        d = x.bitwiseXOR(y)
-        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-
-    return F.lit(symbols) - differ(x1, y1) - differ(x2, y2)
-
-
-def least_agreeing(similarity: float, symbols: int) -> int:
-    """Agreeing symbols that a pair of the similarity falls short of about once in twenty thousand pairs."""
-    p = similarity + (1 - similarity) / 4
-    return max(0, int(symbols * p - 3.9 * (symbols * p * (1 - p)) ** 0.5))
-
-
 def table_keys(signature: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> Column:
     """The key of each table: the symbols that the table's mask keeps, with the table's number."""
     n = 2 ** (radius + 1) - 1
@@ -134,7 +107,7 @@ def table_keys(signature: Column, radius: int = RADIUS, blocks: int = BLOCKS) ->
 
 
 def signatures(chunks: DataFrame, adjacent: int = ADJACENT, min_words: int = MIN_WORDS, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(row_id, item, set1, set2, w1, w2, signature) of the members; set1 and set2 name the set of sequences by 128 bits, item the item_id by 64."""
+    """(row_id, item, set1, set2, signature) of the members; set1 and set2 name the set of sequences by 128 bits, item the item_id by 64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -142,7 +115,7 @@ def signatures(chunks: DataFrame, adjacent: int = ADJACENT, min_words: int = MIN
 
         s = Sketcher(adjacent, radius, blocks)
         for b in batches:
-            at, one, two, signed, w1, w2 = [], [], [], [], [], []
+            at, one, two, signed = [], [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):
                 words = s.words_of(t)
                 if len(words) < min_words:
@@ -153,18 +126,15 @@ def signatures(chunks: DataFrame, adjacent: int = ADJACENT, min_words: int = MIN
                 one.append(d >> 64)
                 two.append(d & ((1 << 64) - 1))
                 signed.append(s.signature(h))
-                a, c = s.sketch(signed[-1])
-                w1.append(a)
-                w2.append(c)
             part = b.take(pa.array(at, pa.int64()))
             flat = pa.array(np.concatenate(signed) if signed else np.empty(0, np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * s.symbols), flat)
-            sets = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (one, two, w1, w2)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *sets, lists], names=["row_id", "item", "set1", "set2", "w1", "w2", "signature"])
+            sets = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (one, two)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *sets, lists], names=["row_id", "item", "set1", "set2", "signature"])
 
     item = F.when(F.col("item_id").isNotNull(), F.xxhash64("item_id"))
     rows = chunks.select("row_id", item.alias("item"), "content").where(F.length("content") >= min_words)
-    return rows.mapInArrow(run, f"row_id {chunks.schema['row_id'].dataType.simpleString()}, item bigint, set1 bigint, set2 bigint, w1 bigint, w2 bigint, signature array<int>")
+    return rows.mapInArrow(run, f"row_id {chunks.schema['row_id'].dataType.simpleString()}, item bigint, set1 bigint, set2 bigint, signature array<int>")
 
 
 def shingle_sets(chunks: DataFrame, adjacent: int = ADJACENT) -> DataFrame:
@@ -183,20 +153,16 @@ def shingle_sets(chunks: DataFrame, adjacent: int = ADJACENT) -> DataFrame:
     return chunks.select("row_id", "content").mapInArrow(run, f"row_id {chunks.schema['row_id'].dataType.simpleString()}, shingles array<bigint>")
 
 
-def similar_sets(chunks: DataFrame, least: float = SIMILAR, adjacent: int = ADJACENT, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Members (row_id, item, rep) and pairs (a, b, similarity) of representatives of different sets, a < b."""
-    signed = settle(signatures(chunks, adjacent, min_words))
+def similar_sets(chunks: DataFrame, least: float = SIMILAR, adjacent: int = ADJACENT, min_words: int = MIN_WORDS, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
+    """Members (row_id, item, rep) and pairs (a, b, similarity) of representatives of different sets, a < b; every pair that collides in a table is checked. More `blocks` miss fewer (`miss_probability`)."""
+    signed = settle(signatures(chunks, adjacent, min_words, blocks=blocks))
     reps = settle(signed.groupBy("set1", "set2").agg(F.min("row_id").alias("rep")))
     members = signed.select("row_id", "item", "set1", "set2").join(reps, ["set1", "set2"]).select("row_id", "item", "rep")
-    own = signed.select(F.col("row_id").alias("rep"), "w1", "w2", "signature").join(reps.select("rep"), "rep", "left_semi")
-    entry = own.select(F.explode(table_keys(F.col("signature"))).alias("key"), "rep", "w1", "w2")
-    # Most keys have one text; only shared ones are kept, and those are joined with themselves.
-    shared = entry.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
-    shared = settle(shared)
-    x, y = (shared.select("key", F.col("rep").alias(r), F.col("w1").alias(f"{r}1"), F.col("w2").alias(f"{r}2")) for r in "ab")
-    symbols = BLOCKS * (2 ** (RADIUS + 1) - 1)
-    alike = agreeing(F.col("a1"), F.col("b1"), F.col("a2"), F.col("b2"), symbols) >= least_agreeing(least, symbols)
-    found = x.join(y, "key").where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
+    own = signed.select(F.col("row_id").alias("rep"), "signature").join(reps.select("rep"), "rep", "left_semi")
+    entry = own.select(F.explode(table_keys(F.col("signature"), blocks=blocks)).alias("key"), "rep")
+    # The tables are joined with themselves by sort and merge: both sides are one exchange, and adaptive execution splits a key that many texts share.
+    x, y = (entry.select("key", F.col("rep").alias(r)).hint("merge") for r in "ab")
+    found = x.join(y, "key").where("a < b").select("a", "b").distinct()
     found = settle(found)
     ends = found.select(F.col("a").alias("row_id")).union(found.select("b")).distinct()
     sets = settle(shingle_sets(chunks.join(ends, "row_id", "left_semi"), adjacent).dropDuplicates(["row_id"]))
@@ -206,9 +172,9 @@ def similar_sets(chunks: DataFrame, least: float = SIMILAR, adjacent: int = ADJA
     return members, both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
-def found_rows(chunks: DataFrame, least: float = SIMILAR, adjacent: int = ADJACENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """Distinct pairs (row_id_a, row_id_b) of rows of different items."""
-    members, pairs = similar_sets(chunks, least, adjacent, min_words)
+def found_rows(chunks: DataFrame, least: float = SIMILAR, adjacent: int = ADJACENT, min_words: int = MIN_WORDS, blocks: int = BLOCKS) -> DataFrame:
+    """Distinct pairs (row_id_a, row_id_b) of rows of different items; copies are expanded, as the result is stated in rows. `groups` is the form without that."""
+    members, pairs = similar_sets(chunks, least, adjacent, min_words, blocks)
     members = members.select("rep", F.struct("row_id", "item").alias("m"))
     x, y = members.select(F.col("rep").alias("a"), F.col("m").alias("x")), members.select(F.col("rep").alias("b"), F.col("m").alias("y"))
     between = pairs.select("a", "b").join(x, "a").join(y, "b").select("x", "y")
@@ -236,9 +202,9 @@ def components(pairs: DataFrame) -> DataFrame:
             return label
 
 
-def groups(chunks: DataFrame, least: float = SIMILAR, adjacent: int = ADJACENT, min_words: int = MIN_WORDS) -> DataFrame:
+def groups(chunks: DataFrame, least: float = SIMILAR, adjacent: int = ADJACENT, min_words: int = MIN_WORDS, blocks: int = BLOCKS) -> DataFrame:
     """(row_id, group_id, links): one row per member text with a near-duplicate or a copy; links counts representatives."""
-    members, pairs = similar_sets(chunks, least, adjacent, min_words)
+    members, pairs = similar_sets(chunks, least, adjacent, min_words, blocks)
     pairs = settle(pairs.select("a", "b"))
     comp = components(pairs)
     links = pairs.select("a").union(pairs.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("links"))

@@ -69,6 +69,15 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return nearcopies.found_rows(texts(spark, base, "chunks"))
 
 
+P5_SQL = r"""
+WITH w AS (SELECT row_id, item_id, regexp_extract_all(regexp_replace(lower(content), '([\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS x FROM chunks WHERE content IS NOT NULL),
+s AS (SELECT DISTINCT row_id, item_id, unnest(list_transform(range(1, len(x) - 1), lambda i: x[i] || ' ' || x[i + 1] || ' ' || x[i + 2])) AS g FROM w WHERE len(x) >= 80),
+n AS (SELECT row_id, count(*) AS n FROM s GROUP BY row_id),
+p AS (SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.row_id < b.row_id AND a.item_id IS DISTINCT FROM b.item_id GROUP BY ALL)
+SELECT row_id_a, row_id_b FROM p JOIN n x ON x.row_id = row_id_a JOIN n y ON y.row_id = row_id_b WHERE c >= 0.6 * (x.n + y.n - c)
+"""
+
+
 def p5_groups(spark: SparkSession, base: str) -> DataFrame:
     """Each near-duplicate or copied text with its group and its number of links."""
     return nearcopies.groups(texts(spark, base, "chunks"))
@@ -99,4 +108,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL}
+    return {"p3_found": P3_SQL, "p5_found": P5_SQL}
