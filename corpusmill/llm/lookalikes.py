@@ -84,13 +84,12 @@ def patterns() -> dict[str, str]:
     alone = []
     for name, chars, least in (("cyrillic", CYR_C, 1), ("greek", GRE_C, 2)):
         own = "".join(sorted(twins()[name]))
-        word = rf"[{own}][{own}{ALL}]*" + (rf"(?<=[{own}][{ALL}]{{0,20}}[{own}])" if least > 1 else "")
-        out[name] = rf"^[{own}{ALL}]+$"
+        word = rf"[{own}][{own}{ALL}]" + ("*" if least == 1 else "+")
         many = rf"[{own}][{own}{ALL}]+"
-        # With Latin next to it on one side and nothing else of its script on the other.
-        alone.append(rf"(?<![{WORD}])(?:(?<=[{LATIN_C}][^\p{{L}}]{{1,{REACH}}}){many}(?![{WORD}])(?![^\p{{L}}]+[{chars}])|(?<![{chars}][^\p{{L}}]{{1,{REACH}}}){many}(?=[^\p{{L}}]+[{LATIN_C}]))")
-        # A word of one letter or more in a value that has other letters, none of them of the script but in such words.
-        out[f"{name}_value"] = rf"(?s)^(?=.*[\p{{L}}&&[^{chars}]])(?=.*(?<![{WORD}]){word}(?![{WORD}]))(?:[^{chars}]|(?<![{WORD}]){word}(?![{WORD}]))*$"
+        out[name] = rf"^[{own}{ALL}]+$"
+        # With Latin next to it on one side and nothing else of its script on the other; the costly look-behind comes after the word itself.
+        alone.append(rf"(?<![{WORD}])(?={many}(?![{WORD}]))(?:(?<=[{LATIN_C}][^\p{{L}}]{{1,{REACH}}}){many}(?![^\p{{L}}]+[{chars}])|(?<![{chars}][^\p{{L}}]{{1,{REACH}}}){many}(?=[^\p{{L}}]+[{LATIN_C}]))")
+        # A word of its letters in a value that has other letters, none of them of the script but in such words.
         out[f"{name}_word"] = rf"(?<![{WORD}]){word}(?![{WORD}])"
     alone = "|".join(alone)
     out["suspect"] = rf"{ODD}|[{SPACE}]|{MIXED}|{alone}"
@@ -181,8 +180,13 @@ def values(tables: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
     p = patterns()
     v = F.col("value")
     unusual = long_form(tables).where(v.rlike(UNUSUAL))
-    cyrillic, greek = v.rlike(f"[{CYR_C}]") & v.rlike(p["cyrillic_value"]), v.rlike(f"[{GRE_C}]") & v.rlike(p["greek_value"])
-    kind = F.when(cyrillic, F.lit("cyrillic")).when(greek, F.lit("greek")).when(v.rlike(p["suspect"]), F.lit("plain"))
+
+    def only_such(name: str, chars: str) -> Column:
+        """The value has words of twins, other letters, and nothing else of the script."""
+        rest = F.regexp_replace(v, p[f"{name}_word"], " ")
+        return v.rlike(f"[{chars}]") & ~rest.rlike(f"[{chars}]") & rest.rlike(r"\p{L}") & v.rlike(p[f"{name}_word"])
+
+    kind = F.when(only_such("cyrillic", CYR_C), F.lit("cyrillic")).when(only_such("greek", GRE_C), F.lit("greek")).when(v.rlike(p["suspect"]), F.lit("plain"))
     return settle(unusual.withColumn("pattern", kind).where("pattern is not null"))
 
 

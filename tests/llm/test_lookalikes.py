@@ -67,3 +67,9 @@ def test_words_of_twins_only(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, content string")
     got = {r.row_id: r.normalized for r in lookalikes.normalized([(df, "row_id", "content", "content")]).collect()}
     assert got == {0: "gate c 1 2 3", 1: "BEH 2031 ------------------------ hall", 2: "ABE gate"}
+
+
+def test_very_long_values(spark):
+    texts = ["слово и дело. " * 20000 + "ｗｉｄｅ", "plain words here " * 20000 + "с ВЕН", "- 1 " * 50000 + "ВЕН gate"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, content string")
+    assert {r.row_id for r in lookalikes.found_rows([(df, "row_id", "content", "content")]).collect()} == {0, 1, 2}
