@@ -75,3 +75,11 @@ def test_groups_are_components(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], TYPES)
     assert nc.found_rows(df).count() == 0 and nc.groups(df).count() == 0
+
+
+def test_all_ways_find_the_same_pairs(spark):
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, TYPES)
+    want = exact(rows)
+    for how in ({"sketch": False}, {"blocks": 9}, {"blocks": 9, "sketch": False}):
+        assert {tuple(r) for r in nc.found_rows(df, **how).collect()} == want
