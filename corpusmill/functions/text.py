@@ -15,7 +15,7 @@ SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{2
 CONTROL = r"\x00-\x1F\x7F-\x{9F}"
 #: Ideographs that the gram index covers.
 CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
-PREVIEW, SNIPPET_LEAD, INDEXED = 220, 55, 4096
+PREVIEW, SNIPPET_LEAD, INDEXED, TAG = 220, 55, 4096, 4096
 
 
 def _folding() -> tuple[str, str]:
@@ -49,6 +49,19 @@ def clean(c: Column) -> Column:
     return trim_space(F.regexp_replace(c, f"[{SPACE}]+", " "))
 
 
+def clean_stream(c: Column) -> Column:
+    """As `clean`, as a text is read piece by piece: an empty tag is one too, and what is longer than TAG characters is text."""
+    c = F.regexp_replace(c, f"<[^>]{{0,{TAG - 1}}}>", " ")
+    c = F.regexp_replace(c, r"[\n\r\t]", " ")
+    c = F.regexp_replace(c, f"[{CONTROL}]", "")
+    return F.regexp_replace(c, f"[{SPACE}]+", " ")
+
+
+def title_case(c: Column) -> Column:
+    """The first character as a capital, if it is a letter of ASCII."""
+    return F.concat(F.translate(F.substring(c, 1, 1), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.substring(c, F.lit(2), F.length(c)))
+
+
 def preview(c: Column, limit: int = PREVIEW) -> Column:
     return F.when(F.length(c) <= limit, c).otherwise(F.concat(trim_space(F.substring(c, 1, limit)), F.lit("...")))
 

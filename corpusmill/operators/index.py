@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,18 +20,43 @@ def analyzed(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(shard, token, row_id, col, tf, positions): where each term stands; col 0 is the title, 1 the content."""
-    a = analyzed(chunks.select("row_id", "title", "content"))
-    place = lambda c, n: F.transform(c, lambda t, i: F.struct(F.lit(n).alias("col"), i.alias("pos"), t.alias("token")))
-    words = a.select("shard", "row_id", F.explode(F.concat(place(F.col("title_terms"), 0), place(F.col("content_terms"), 1))).alias("w"))
-    g = words.groupBy("shard", "row_id", F.col("w.col").alias("col"), F.col("w.token").alias("token"))
-    return g.agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("w.pos")).alias("positions")).select("shard", "token", "row_id", "col", "tf", "positions")
+    """(shard, token, row_id, col, tf, positions, terms): where each term stands, and the length of its row; col 0 is the title, 1 the content.
+
+    One Arrow pass over each row's terms, as a row's postings hang on that row alone: nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, cols, token, tf, positions, terms = [], [], [], [], [], []
+            for i, both in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                length = len(both[0]) + len(both[1])
+                for col, words in enumerate(both):
+                    places: dict[str, list[int]] = {}
+                    for k, w in enumerate(words):
+                        places.setdefault(w, []).append(k)
+                    at += [i] * len(places)
+                    cols += [col] * len(places)
+                    terms += [length] * len(places)
+                    token += places
+                    positions += places.values()
+                    tf += map(len, places.values())
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(token, pa.string()), b.column(1).take(take), *(pa.array(x, t) for x, t in ((cols, pa.int32()), (tf, pa.int32()), (positions, pa.list_(pa.int32())), (terms, pa.int32())))], names=["shard", "token", "row_id", "col", "tf", "positions", "terms"])
+
+    a = analyzed(chunks.select("row_id", "title", "content")).select("shard", "row_id", "title_terms", "content_terms")
+    kind = chunks.schema["row_id"].dataType.simpleString()
+    return a.mapInArrow(run, f"shard int, token string, row_id {kind}, col int, tf int, positions array<int>, terms int")
+
+
+def grams_of(chunks: DataFrame) -> DataFrame:
+    grams = text.cjk_grams(text.gram_text(F.col("title"), F.col("content"), F.col("preview")))
+    return chunks.select(keys.rowid_shard(F.col("row_id")).alias("shard"), "row_id", grams.alias("grams"))
 
 
 def gram_postings(chunks: DataFrame) -> DataFrame:
-    """(shard, token, row_id): the grams of each chunk that has any."""
-    grams = text.cjk_grams(text.gram_text(F.col("title"), F.col("content"), F.col("preview")))
-    return chunks.select(keys.rowid_shard(F.col("row_id")).alias("shard"), "row_id", F.explode(grams).alias("token")).select("shard", "token", "row_id")
+    """(shard, token, row_id, terms): the grams of each chunk that has any, and their number."""
+    g = grams_of(chunks).withColumn("terms", F.size("grams"))
+    return g.select("shard", "row_id", "terms", F.explode("grams").alias("token")).select("shard", "token", "row_id", "terms")
 
 
 def doc_stats(chunks: DataFrame) -> DataFrame:
@@ -41,12 +69,18 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return doc_stats(chunks).groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.col("title_len") + F.col("content_len")).alias("avg_len"))
 
 
+def stored_stats(chunks: DataFrame) -> DataFrame:
+    """(shard, n_docs, avg_len, avg_grams), in one pass."""
+    a = analyzed(chunks.select("row_id", "title", "content", "preview")).withColumn("grams", F.size(text.cjk_grams(text.gram_text(F.col("title"), F.col("content"), F.col("preview")))))
+    return a.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("terms").alias("avg_len"), F.avg("grams").alias("avg_grams"))
+
+
 #: Schemas of the stored tables, so that an empty index can be read as well.
 STORED = {
     "chunks": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CHUNK) + ", shard int",
-    "postings": "token string, row_id bigint, col int, tf int, positions array<int>, shard int",
-    "grams": "token string, row_id bigint, shard int",
-    "stats": "shard int, n_docs bigint, avg_len double",
+    "postings": "token string, row_id bigint, col int, tf int, positions array<int>, terms int, shard int",
+    "grams": "token string, row_id bigint, terms int, shard int",
+    "stats": "shard int, n_docs bigint, avg_len double, avg_grams double",
 }
 
 
@@ -87,7 +121,7 @@ class Index:
         # Sorted by term, row groups hold few terms and a search reads only those of its own.
         postings(stored).repartitionByRange("shard", "token").sortWithinPartitions("shard", "token", "row_id").write.mode("overwrite").partitionBy("shard").parquet(f"{out}/postings")
         gram_postings(stored).repartitionByRange("shard", "token").sortWithinPartitions("shard", "token", "row_id").write.mode("overwrite").partitionBy("shard").parquet(f"{out}/grams")
-        corpus_stats(stored).coalesce(1).write.mode("overwrite").parquet(f"{out}/stats")
+        stored_stats(stored).coalesce(1).write.mode("overwrite").parquet(f"{out}/stats")
         fs, done = self._fs(f"{out}/_DONE")
         fs.create(done).close()
         for v in known[: max(0, len(known) + 1 - keep)]:

@@ -1,7 +1,8 @@
 """Evaluating a parsed search expression and scoring what it matches.
 
-Every phrase becomes an array expression over a row's own terms, so matching needs no shuffle; the document frequencies are one
-aggregation to SHARDS rows. With postings at hand, rows that can't match are left out before their terms are looked at.
+Every phrase becomes an array expression over the positions of a row's own terms, so matching needs no shuffle of its own; the document frequencies are one
+aggregation to SHARDS rows. Positions come from the texts (`scored`), or from stored postings (`scored_stored`), which then are all that is read:
+the postings of the expression's terms, grouped by row, and the lengths and counts that were stored with them.
 """
 
 from __future__ import annotations
@@ -34,12 +35,24 @@ def _followed(hits: Column, later: Column, k: int) -> Column:
     return F.filter(hits, lambda p: F.array_contains(later, p + F.lit(k)))
 
 
-def starts(tokens: Column, phrase: Phrase) -> Column:
-    """Positions at which the phrase begins."""
+def in_text(column: str, word: str, prefix: bool) -> Column:
+    """Positions of a term in the terms of a text."""
+    return _at(F.col(f"{column}_terms"), word, prefix)
+
+
+def in_postings(column: str, word: str, prefix: bool) -> Column:
+    """Positions of a term in a row's postings, an array of (col, token, positions)."""
+    number = COLUMNS.index(column)
+    mine = F.filter("__postings", lambda x: (x["col"] == number) & (x["token"].startswith(word) if prefix else x["token"] == word))
+    return F.array_sort(F.flatten(F.transform(mine, lambda x: x["positions"])))
+
+
+def starts(at, column: str, phrase: Phrase) -> Column:
+    """Positions at which the phrase begins; `at` gives those of a term."""
     last = len(phrase.terms) - 1
-    out = _at(tokens, phrase.terms[0], phrase.prefix and last == 0)
+    out = at(column, phrase.terms[0], phrase.prefix and last == 0)
     for k in range(1, last + 1):
-        out = _followed(out, _at(tokens, phrase.terms[k], phrase.prefix and k == last), k)
+        out = _followed(out, at(column, phrase.terms[k], phrase.prefix and k == last), k)
     return F.filter(out, lambda p: p == 0) if phrase.first else out
 
 
@@ -52,9 +65,9 @@ def _close(hits: Column, other: Column, length: int, other_length: int, gap: int
     return F.filter(hits, near)
 
 
-def near_starts(tokens: Column, group: Near) -> list[Column]:
+def near_starts(at, column: str, group: Near) -> list[Column]:
     """For each phrase of the group, its hits that have every other phrase within the gap."""
-    hits = [starts(tokens, p) for p in group.phrases]
+    hits = [starts(at, column, p) for p in group.phrases]
     out = []
     for i, h in enumerate(hits):
         for j, other in enumerate(hits):
@@ -67,7 +80,8 @@ def near_starts(tokens: Column, group: Near) -> list[Column]:
 class Matcher:
     """Columns that say whether a row matches and how often each phrase hits."""
 
-    def __init__(self, tree):
+    def __init__(self, tree, at=in_text):
+        self.at = at
         self.hits: list[dict[str, Column]] = []  # of each phrase, per column, as they count for the score
         self.alone: list[dict[str, Column]] = []  # of each phrase by itself, for its document frequency
         self.phrases: list[Phrase] = []
@@ -83,16 +97,16 @@ class Matcher:
         if isinstance(node, Phrase):
             if not node.terms or not node.columns:
                 return None if not node.terms else F.lit(False)
-            h = {c: F.size(starts(F.col(f"{c}_terms"), node)) for c in node.columns}
+            h = {c: F.size(starts(self.at, c, node)) for c in node.columns}
             return self._add(node, h, h)
         if isinstance(node, Near):
             if len(node.phrases) == 1:
                 return self._walk(node.phrases[0])
             cols = [c for c in COLUMNS if all(c in p.columns for p in node.phrases)]
-            near = {c: near_starts(F.col(f"{c}_terms"), node) for c in cols}
+            near = {c: near_starts(self.at, c, node) for c in cols}
             tests = []
             for i, p in enumerate(node.phrases):
-                tests.append(self._add(p, {c: F.size(near[c][i]) for c in cols}, {c: F.size(starts(F.col(f"{c}_terms"), p)) for c in p.columns}))
+                tests.append(self._add(p, {c: F.size(near[c][i]) for c in cols}, {c: F.size(starts(self.at, c, p)) for c in p.columns}))
             return reduce(lambda x, y: x & y, tests)
         parts = [self._walk(p) for p in node.parts]
         if node.op == "not":
@@ -125,38 +139,43 @@ def every_phrase(node) -> list[Phrase]:
     return [p for n in (node.phrases if isinstance(node, Near) else node.parts) for p in every_phrase(n)]
 
 
-def with_terms(chunks: DataFrame, postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
-    """Chunks that hold the first term of any of the phrases; only the postings of these terms are read."""
-    tests = []
-    for p in phrases:
-        one = len(p.terms) == 1 and p.prefix
-        tests.append(F.col("token").startswith(p.terms[0]) if one else F.col("token") == p.terms[0])
-    ids = postings.where(reduce(lambda x, y: x | y, tests, F.lit(False))).select("row_id").distinct()
-    return chunks.join(ids, "row_id", "left_semi")
-
+def finished(rows: DataFrame, m: Matcher, stats: DataFrame) -> DataFrame:
+    """Rows that match, with their score; `stats` has __scope, __n, __mean and __n<i> of each phrase, one row per shard, SHARDS at most."""
+    n = range(len(m.hits))
+    hit = rows.where("__match").join(F.broadcast(stats), "__scope")
+    score = reduce(lambda x, y: x + y, [idf(F.col("__n"), F.col(f"__n{i}")) * bm25(F.col(f"__f{i}"), F.col("terms"), F.col("__mean")) for i in n], F.lit(0.0))
+    return hit.withColumn("score", -score).drop("__scope", "__match", "__n", "__mean", *[f"__{x}{i}" for i in n for x in "fdn"])
 
-def scored(chunks: DataFrame, tree, scope: str = "shard", postings: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
-    """Matching chunks with their score; lower is better. Statistics are those of the row's shard or of all rows.
 
-    With `postings` and `corpus` of an index, only chunks that hold a term of the expression are looked at.
-    """
-    indexed = postings is not None and corpus is not None and tree is not None
-    if indexed:
-        chunks = with_terms(chunks, postings, every_phrase(tree))
+def scored(chunks: DataFrame, tree, scope: str = "shard") -> DataFrame:
+    """Matching chunks with their score; lower is better. Statistics are those of the row's shard or of all rows. The texts are read whole."""
     if tree is None:
         return index.analyzed(chunks).where("false").withColumn("score", F.lit(0.0)).drop("title_terms", "content_terms")
     m = Matcher(tree)
     rows = m.apply(index.analyzed(chunks)).withColumn("__scope", F.col("shard") if scope == "shard" else F.lit(0)).drop("title_terms", "content_terms")
-    n = range(len(m.hits))
-    stats = rows.groupBy("__scope").agg(F.count(F.lit(1)).alias("__n"), F.avg("terms").alias("__mean"), *[F.count_if(f"__d{i}").alias(f"__n{i}") for i in n])
-    if indexed:
-        known = corpus.withColumn("__scope", F.col("shard") if scope == "shard" else F.lit(0)).groupBy("__scope")
-        known = known.agg(F.sum("n_docs").alias("__n"), (F.sum(F.col("n_docs") * F.col("avg_len")) / F.sum("n_docs")).alias("__mean"))
-        stats = known.join(stats.drop("__n", "__mean"), "__scope")
-    # One row per shard, SHARDS at most.
-    hit = rows.where("__match").join(F.broadcast(stats), "__scope")
-    score = reduce(lambda x, y: x + y, [idf(F.col("__n"), F.col(f"__n{i}")) * bm25(F.col(f"__f{i}"), F.col("terms"), F.col("__mean")) for i in n], F.lit(0.0))
-    return hit.withColumn("score", -score).drop("__scope", "__match", "__n", "__mean", *[f"__{x}{i}" for i in n for x in "fdn"])
+    stats = rows.groupBy("__scope").agg(F.count(F.lit(1)).alias("__n"), F.avg("terms").alias("__mean"), *[F.count_if(f"__d{i}").alias(f"__n{i}") for i in range(len(m.hits))])
+    return finished(rows, m, stats)
+
+
+def scored_stored(stored: index.Index, tree, scope: str = "shard") -> DataFrame:
+    """As `scored`, from an index: (row_id, shard, terms, score) of the matching rows. Only the postings of the expression's terms are read."""
+    if tree is None:
+        return stored.table("postings").where("false").select("row_id", "shard", "terms", F.lit(0.0).alias("score"))
+    tests = [F.col("token").startswith(t) if p.prefix and k == len(p.terms) - 1 else F.col("token") == t for p in every_phrase(tree) for k, t in enumerate(p.terms)]
+    own = stored.table("postings").where(reduce(lambda x, y: x | y, tests, F.lit(False)))
+    # A row's postings of the terms of one expression: no more than the row has terms.
+    rows = own.groupBy("shard", "row_id").agg(F.collect_list(F.struct("col", "token", "positions")).alias("__postings"), F.first("terms").alias("terms"))
+    m = Matcher(tree, in_postings)
+    rows = m.apply(rows).drop("__postings").withColumn("__scope", F.col("shard") if scope == "shard" else F.lit(0))
+    counts = rows.groupBy("__scope").agg(*[F.count_if(f"__d{i}").alias(f"__n{i}") for i in range(len(m.hits))])
+    known = stored.table("stats").withColumn("__scope", F.col("shard") if scope == "shard" else F.lit(0)).groupBy("__scope")
+    known = known.agg(F.sum("n_docs").alias("__n"), (F.sum(F.col("n_docs") * F.col("avg_len")) / F.sum("n_docs")).alias("__mean"))
+    return finished(rows, m, known.join(counts, "__scope"))
+
+
+def gram_score(n: int) -> Column:
+    each = [idf(F.col("__n"), F.col(f"__n{i}")) * bm25(F.lit(1.0), F.col("terms"), F.col("__mean")) for i in range(n)]
+    return -reduce(lambda x, y: x + y, each, F.lit(0.0))
 
 
 def scored_grams(chunks: DataFrame, grams: list[str]) -> DataFrame:
@@ -166,8 +185,18 @@ def scored_grams(chunks: DataFrame, grams: list[str]) -> DataFrame:
     rows = rows.select("*", *[F.array_contains("__g", g).alias(f"__d{i}") for i, g in enumerate(grams)]).drop("__g")
     stats = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("__n"), F.avg("terms").alias("__mean"), *[F.count_if(f"__d{i}").alias(f"__n{i}") for i in range(len(grams))])
     hit = rows.where(reduce(lambda x, y: x & y, [F.col(f"__d{i}") for i in range(len(grams))], F.lit(bool(grams)))).join(F.broadcast(stats), "shard")
-    score = reduce(lambda x, y: x + y, [idf(F.col("__n"), F.col(f"__n{i}")) * bm25(F.lit(1.0), F.col("terms"), F.col("__mean")) for i in range(len(grams))], F.lit(0.0))
-    return hit.withColumn("score", -score).drop("__n", "__mean", *[f"__{x}{i}" for i in range(len(grams)) for x in "dn"])
+    return hit.withColumn("score", gram_score(len(grams))).drop("__n", "__mean", *[f"__{x}{i}" for i in range(len(grams)) for x in "dn"])
+
+
+def scored_grams_stored(stored: index.Index, grams: list[str]) -> DataFrame:
+    """As `scored_grams`, from an index: (row_id, shard, terms, score); only the postings of the grams are read."""
+    own = stored.table("grams").where(F.col("token").isin(grams) if grams else F.lit(False))
+    rows = own.groupBy("shard", "row_id").agg(F.collect_set("token").alias("__g"), F.first("terms").alias("terms"))
+    rows = rows.select("shard", "row_id", "terms", *[F.array_contains("__g", g).alias(f"__d{i}") for i, g in enumerate(grams)])
+    counts = rows.groupBy("shard").agg(*[F.count_if(f"__d{i}").alias(f"__n{i}") for i in range(len(grams))] or [F.lit(0).alias("__none")])
+    known = stored.table("stats").select("shard", F.col("n_docs").alias("__n"), F.col("avg_grams").alias("__mean"))
+    hit = rows.where(reduce(lambda x, y: x & y, [F.col(f"__d{i}") for i in range(len(grams))], F.lit(bool(grams)))).join(F.broadcast(known.join(counts, "shard")), "shard")
+    return hit.select("row_id", "shard", "terms", gram_score(len(grams)).alias("score"))
 
 
 def filtered(df: DataFrame, source: str | None = None, file_type: str | None = None, since: int | None = None, until: int | None = None) -> DataFrame:

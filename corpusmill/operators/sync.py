@@ -30,13 +30,13 @@ def newest_records(fingerprints: DataFrame) -> DataFrame:
     return best.select("npath", "r.path", "r.size", "r.mod_time_ns", "r.content_hash", "r.updated_at")
 
 
-def decisions(candidates: DataFrame, fingerprints: DataFrame, last_sync: int = 0, content_only: bool = False, limit: int = files.FOREGROUND_BYTES, strict: bool = True) -> DataFrame:
+def decisions(candidates: DataFrame, fingerprints: DataFrame, last_sync: int = 0, content_only: bool = False, limit: int = files.FOREGROUND_BYTES, strict: bool = True, rich: bool = False) -> DataFrame:
     """Candidates with `action`: skip, index_content, index_path. Known paths are always looked at, unknown ones if newer than `last_sync`.
 
     With strict=False an unknown path is looked at whatever its time, so that an old file moved in isn't missed.
     """
     known = newest_records(fingerprints).select("npath", F.col("size").alias("__size"), F.col("mod_time_ns").alias("__time"), F.col("content_hash").alias("__hash"))
-    c = candidates.withColumn("npath", text.normal_path(F.col("path"))).join(known, "npath", "left").withColumn("__kind", desired_kind(content_only, limit))
+    c = candidates.withColumn("npath", text.normal_path(F.col("path"))).join(known, "npath", "left").withColumn("__kind", desired_kind(content_only, limit, rich))
     is_known = F.col("__hash").isNotNull() | F.col("__time").isNotNull()
     fresh = F.floor(F.coalesce("mod_time_ns", F.lit(0)) / 1_000_000_000) > last_sync if strict else F.lit(True)
     same = unchanged(F.col("size").eqNullSafe(F.col("__size")), F.col("mod_time_ns").eqNullSafe(F.col("__time")), F.col("__hash"), F.col("__kind"))
@@ -105,6 +105,19 @@ def delete_subtree(df: DataFrame, root: str) -> DataFrame:
     return df.where(~F.coalesce(own, F.lit(False)))
 
 
+def delete_subtrees(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """As `delete_subtree`, for many paths (path) at once: the paths of the table are looked up with all that is above them."""
+    roots = gone.where("path is not null").select(F.regexp_replace(text.normal_path(F.col("path")), "(?<=.)/+$", "").alias("__up")).distinct()
+    own = df.where(F.col("source") == "file") if "source" in df.columns else df
+    paths = own.select(text.normal_path(F.col("path")).alias("__p")).where("__p is not null and __p != ''").distinct()
+    parts = F.split("__p", "/")
+    above = paths.select("__p", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("__up"))
+    lost = above.join(roots, "__up", "left_semi").select("__p").distinct()
+    mine = (F.col("source") == "file") if "source" in df.columns else F.lit(True)
+    keyed = df.withColumn("__p", F.when(F.coalesce(mine, F.lit(False)), text.normal_path(F.col("path"))))
+    return keyed.join(lost, "__p", "left_anti").select(*df.columns)
+
+
 def delete_items(chunks: DataFrame, items: DataFrame) -> DataFrame:
     return chunks.join(items.select("source", "item_id").distinct(), ["source", "item_id"], "left_anti")
 

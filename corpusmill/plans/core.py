@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.engine import SearchRequest, candidates, results
+from corpusmill.engine import SearchRequest, candidates, results, stored_candidates
 from corpusmill.functions import chunking, keys, text
 from corpusmill.operators import index, match, query, rank, sync
 from corpusmill.plans import sql as Q
-from corpusmill.session import table, texts
+from corpusmill.session import shared_dir, table, texts
 from corpusmill.sources import browser, files
 from corpusmill.streaming import watch
 
@@ -225,10 +230,47 @@ def bm25_cjk(spark, base):
 
 @query_of("request_limits", "WITH r AS (SELECT request_id, CASE WHEN coalesce(max_rows, 0) <= 0 THEN 50 ELSE least(max_rows, 200) END AS l, greatest(coalesce(skip_rows, 0), 0) AS o FROM search_requests) SELECT request_id, l::INT AS row_limit, o::INT AS row_offset, least(greatest(4 * (l + o), 80), 5000)::INT AS oversampled FROM r")
 def request_limits(spark, base):
-    limit = F.when(F.coalesce("max_rows", F.lit(0)) <= 0, F.lit(50)).otherwise(F.least("max_rows", F.lit(200)))
-    offset = F.greatest(F.coalesce("skip_rows", F.lit(0)), F.lit(0))
-    over = F.least(F.greatest(4 * (limit + offset), F.lit(80)), F.lit(5000))
-    return table(spark, base, "search_requests").select("request_id", limit.cast("int").alias("row_limit"), offset.cast("int").alias("row_offset"), over.cast("int").alias("oversampled"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [match.limits(None if pd.isna(m) else int(m), None if pd.isna(o) else int(o)) for m, o in zip(b["max_rows"], b["skip_rows"])]
+            yield pd.DataFrame({"request_id": b["request_id"]} | {n: [r[k] for r in rows] for k, n in enumerate(("row_limit", "row_offset", "oversampled"))})
+
+    return table(spark, base, "search_requests").select("request_id", "max_rows", "skip_rows").mapInPandas(run, "request_id bigint, row_limit int, row_offset int, oversampled int")
+
+
+# ---------------------------------------------------------------- the stored index
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark, base) -> index.Index:
+    """An index of the whole chunk table in the shared folder, built once in a session."""
+    key = (spark.sparkContext.applicationId, os.path.realpath(base))
+    if key not in _BUILT:
+        at = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        index.Index(spark, at).write(table(spark, base, "chunks"))
+        _BUILT[key] = at
+    return index.Index(spark, _BUILT[key])
+
+
+def _match_stored(name: str, of: str, search: str, scope: str = "shard") -> None:
+    """The same matches and scores from stored postings as from the texts."""
+    SQL[name] = SQL[of]
+    QUERIES[name] = lambda spark, base: match.scored_stored(_stored(spark, base), query.parse(query.rewrite(search)), scope).select("row_id", F.round("score", 6).alias("score"))
+
+
+_match_stored("and_indexed", "match_and", "floor plan")
+_match_stored("not_indexed", "match_not", "plan NOT (floor OR travel)")
+_match_stored("phrase_indexed", "match_phrase", '"search log"')
+_match_stored("near_indexed", "match_near", "NEAR(old scanner, 3)")
+_match_stored("column_indexed", "match_column", "title : plan*")
+_match_stored("initial_indexed", "match_initial", "^annual*")
+_match_stored("global_indexed", "bm25_global", "garden survey", "global")
+
+
+@query_of("cjk_indexed", SQL["bm25_cjk"])
+def cjk_indexed(spark, base):
+    return match.scored_grams_stored(_stored(spark, base), query.cjk_query("备份方")).select("row_id", F.round("score", 6).alias("score"))
 
 
 # ---------------------------------------------------------------- ranking
@@ -262,6 +304,12 @@ def rank_full(spark, base):
     return results(candidates(texts(spark, base, "chunks"), r), r, NOW).select("rank", "row_id", "source", "title", F.round("score", 5).alias("score"))
 
 
+@query_of("search_indexed", SQL["rank_full"])
+def search_indexed(spark, base):
+    r = SearchRequest("plan")
+    return results(stored_candidates(_stored(spark, base), r), r, NOW).select("rank", "row_id", "source", "title", F.round("score", 5).alias("score"))
+
+
 @query_of("paginate", f"WITH {_FULL} SELECT rank::INT AS rank, row_id FROM (SELECT *, row_number() OVER (ORDER BY total, updated_at DESC NULLS LAST, row_id) rank FROM dd WHERE NOT {Q.NOISY}) WHERE rank > 20 AND rank <= 50")
 def paginate(spark, base):
     r = SearchRequest("plan", limit=30, offset=20)
@@ -330,13 +378,37 @@ def bookmarks_join(spark, base):
 
 @query_of("bookmarks_flatten", "SELECT 'bookmark:' || id AS id, CASE WHEN trim(coalesce(title, '')) = '' THEN id ELSE title END AS title, updated_at FROM data_items WHERE updated_at > 0 AND id <> ''")
 def bookmarks_flatten(spark, base):
+    """Trees whose bookmarks stand in none to six folders, beside an empty folder and a node of another type."""
     d = table(spark, base, "data_items").where("updated_at is not null")
-    leaf = F.struct(F.lit("url").alias("type"), F.coalesce("title", F.lit("")).alias("name"), F.col("id").alias("url"), keys.unix_to_webkit(F.col("updated_at")).cast("string").alias("date_added"))
-    folder = F.struct(F.lit("folder").alias("type"), F.array(leaf).alias("children"))
-    tree = F.to_json(F.struct(F.struct(F.struct(F.lit("folder").alias("type"), F.array(folder).alias("children")).alias("bar")).alias("roots")))
+    leaf = F.to_json(F.struct(F.lit("url").alias("type"), F.coalesce("title", F.lit("")).alias("name"), F.col("id").alias("url"), keys.unix_to_webkit(F.col("updated_at")).cast("string").alias("date_added")))
+    depth = F.pmod(F.xxhash64("id"), F.lit(7)).cast("int")
+    tree = F.concat(F.lit('{"roots":{"other":{"type":"folder","children":[]},"note":{"type":"separator"},"bar":'), F.repeat(F.lit('{"type":"folder","name":"f","children":['), depth), leaf, F.repeat(F.lit("]}"), depth), F.lit("}}"))
     return browser.chromium_bookmarks(d.select(tree.alias("tree")), "chrome").select("id", "title", "updated_at")
 
 
+@query_of(
+    "history_firefox",
+    """WITH u AS (SELECT id AS url, title, updated_at FROM data_items WHERE source = 'firefox' AND updated_at > 1928000000), z AS (SELECT *, CASE WHEN trim(coalesce(title, '')) = '' THEN url ELSE title END AS ti FROM u)
+SELECT url AS id, ti AS title, ti || chr(10) || url AS content, updated_at FROM z""",
+)
+def history_firefox(spark, base):
+    d = table(spark, base, "data_items").where("source = 'firefox' and updated_at is not null")
+    places = d.select(F.col("id").alias("url"), "title", (F.col("updated_at") * 1_000_000).alias("last_visit_date"), F.lit(1).cast("bigint").alias("visit_count"))
+    return browser.firefox_history(places, 1_928_000_000, None).select("id", "title", "content", "updated_at")
+
+
+@query_of("browser_names", "SELECT DISTINCT source, upper(substr(source, 1, 1)) || substr(source, 2) || ' History' AS name FROM data_items")
+def browser_names(spark, base):
+    return table(spark, base, "data_items").select("source", F.concat(text.title_case(F.col("source")), F.lit(" History")).alias("name")).distinct()
+
+
+@query_of("metadata_json", "SELECT id, json_extract_string(m, '$.url') AS url, json_extract_string(m, '$.visit_count')::BIGINT AS visits FROM (SELECT id, json_object('visit_count', 1, 'url', id) AS m FROM data_items WHERE source = 'chrome' AND updated_at IS NOT NULL AND updated_at > 1928000000)")
+def metadata_json(spark, base):
+    """Metadata as it is stored and read again."""
+    m = F.from_json("metadata_json", "visit_count bigint, url string")
+    return browser.chromium_history(_urls(spark, base), "chrome", 1_928_000_000, None).select("id", m.alias("m")).select("id", "m.url", F.col("m.visit_count").alias("visits"))
+
+
 # ---------------------------------------------------------------- files and incremental sync
 
 _DIRS = ", ".join(Q.lit(x) for x in files.SKIPPED_DIRECTORIES)
@@ -421,6 +493,30 @@ def delete_subtree(spark, base):
     return sync.delete_subtree(texts(spark, base, "chunks"), "/home/padek/Work/").select("row_id")
 
 
+@query_of("delete_subtrees", rf"SELECT row_id FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT {Q.path('path')} AS g FROM file_candidates WHERE is_dir) WHERE c.source = 'file' AND ({Q.path('c.path')} = g OR starts_with({Q.path('c.path')}, g || '/')))")
+def delete_subtrees(spark, base):
+    """Every listed folder is removed at once, with all below it."""
+    return sync.delete_subtrees(texts(spark, base, "chunks"), table(spark, base, "file_candidates").where("is_dir").select("path")).select("row_id")
+
+
+@query_of("delete_items", "SELECT row_id FROM chunks WHERE (source, item_id) NOT IN (SELECT source, item_id FROM chunks WHERE ordinal = 1 AND item_id IS NOT NULL)")
+def delete_items(spark, base):
+    c = texts(spark, base, "chunks")
+    return sync.delete_items(c, c.where("ordinal = 1")).select("row_id")
+
+
+@query_of("sync_state", "SELECT adapter_id, max(read_upto) AS last_sync_time FROM sync_runs WHERE status = 'success' AND adapter_id IS NOT NULL AND read_upto IS NOT NULL GROUP BY adapter_id")
+def sync_state(spark, base):
+    """Watermarks written to a versioned table and read again."""
+    from corpusmill import schema
+
+    t = sync.Table(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}", schema.SYNC_STATE)
+    ok = table(spark, base, "sync_runs").where("status = 'success' and adapter_id is not null and read_upto is not null")
+    t.write(ok.groupBy("adapter_id").agg(F.min("read_upto").alias("last_sync_time"), F.lit(0).cast("bigint").alias("updated_at")))
+    t.write(ok.groupBy("adapter_id").agg(F.max("read_upto").alias("last_sync_time"), F.lit(1).cast("bigint").alias("updated_at")))
+    return t.read().select("adapter_id", "last_sync_time")
+
+
 @query_of("records_under", rf"SELECT DISTINCT path, content_hash FROM file_fingerprints WHERE {Q.path('path')} = 'c:/users/quen' OR starts_with({Q.path('path')}, 'c:/users/quen/') OR starts_with({Q.path('path')}, '/home/minsa/')")
 def records_under(spark, base):
     return sync.records_under(table(spark, base, "file_fingerprints"), ["C:\\Users\\quen", "/home/minsa"]).select("path", "content_hash").distinct()
@@ -457,8 +553,23 @@ def watermarks(spark, base):
 _OP = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 4 WHEN 'signup' THEN 8 ELSE 16 END"
 
 
-@query_of("watch_debounce", f"WITH g AS (SELECT epoch_us(ts) // 3600000000 AS hour, user_id::VARCHAR AS path, bit_or({_OP}) AS ops FROM events GROUP BY ALL) SELECT hour, path, ops, CASE WHEN ops & 12 <> 0 THEN 'remove' ELSE 'change' END AS action FROM g WHERE ops & 15 <> 0")
+_TICKS = f"SELECT epoch_us(ts) // 1000000 AS second, user_id::VARCHAR AS path, bit_or({_OP}) AS ops FROM events GROUP BY ALL"
+
+
+@query_of("watch_debounce", f"SELECT second, path, ops, CASE WHEN ops & 12 <> 0 THEN 'remove' ELSE 'change' END AS action FROM ({_TICKS}) WHERE ops & 15 <> 0")
 def watch_debounce(spark, base):
     e = table(spark, base, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("path"), F.expr(_OP).alias("op"))
-    a = watch.actions(watch.gathered(e, 3600))
-    return a.select(F.floor(F.unix_micros("tick") / 3_600_000_000).alias("hour"), "path", "ops", "action")
+    a = watch.actions(watch.gathered(e, 1))
+    return a.select(F.floor(F.unix_micros("tick") / 1_000_000).alias("second"), "path", "ops", "action")
+
+
+@query_of("stream_watch", f"SELECT second, path, ops FROM ({_TICKS})")
+def stream_watch(spark, base):
+    """The events as a stream, gathered per second with state; what the last trigger gives is the whole."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    e = table(spark, base, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("path"), F.expr(_OP).alias("op"))
+    e.write.parquet(f"{at}/in")
+    ticks = watch.gathered(spark.readStream.schema(e.schema).parquet(f"{at}/in"))
+    q = ticks.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out")).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(F.floor(F.unix_micros("tick") / 1_000_000).alias("second"), "path", "ops")

@@ -9,7 +9,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusmill.functions import keys, text
 from corpusmill.schema import CANDIDATE
@@ -107,19 +106,65 @@ def list_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, prune
             s = os.stat(base)
             rows = [(base, s.st_size, s.st_mtime_ns, False)]
         return spark.createDataFrame(rows, CANDIDATE).where(F.col("size") <= max_bytes)
-    level = spark.createDataFrame([(base,)], "path string")
+    return list_below(spark, spark.createDataFrame([(base,)], "path string"), max_bytes, base if prune else None)
+
+
+def list_below(spark: SparkSession, level: DataFrame, max_bytes: int = MAX_BYTES, base: str | None = "") -> DataFrame:
+    """Candidates below the folders of `level` (path). Of what is below `base`, whatever a walk leaves out is pruned; None prunes nothing."""
     out = spark.createDataFrame([], CANDIDATE)
     while True:
         spread = level.repartition(F.xxhash64("path"))
         found = settle(spread.mapInPandas(_entries, CANDIDATE))
-        if prune:
-            found = admitted_below(found, base, max_bytes)
+        if base is not None:
+            found = admitted_below(found, base, max_bytes) if base else admitted_names(found.where(F.col("is_dir") | (F.col("size") <= max_bytes)))
         out = out.unionByName(found.where(F.col("is_dir") | (F.col("size") <= max_bytes)))
         level = found.where("is_dir").select("path")
         if level.isEmpty():
             return out
 
 
+def admitted_names(candidates: DataFrame) -> DataFrame:
+    """Candidates whose own names a walk would not leave out; what is above them isn't judged."""
+    name = F.concat(F.lit("/"), text.base_name(F.col("path")))
+    return candidates.where(F.when(F.col("is_dir"), ~skipped_directory(name)).otherwise(~skipped_file(name)) & ~noisy(F.col("path")))
+
+
+def exists(path: str) -> bool:
+    import os
+
+    return os.path.lexists(path.removeprefix("file://"))
+
+
+def default_roots(home: str) -> list[str]:
+    """The folders of a home that are indexed if none are named, those that are there."""
+    import os
+
+    return [p for n in ("Desktop", "Documents", "Downloads") if os.path.isdir(p := os.path.join(home, n))]
+
+
+def looked_at(paths: DataFrame) -> DataFrame:
+    """`paths` (path, ...) with size, mod_time_ns and is_dir as they are now; null where nothing is there."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+        import stat
+
+        for pdf in batches:
+            rows = []
+            for p in pdf["path"]:
+                try:
+                    s = os.lstat(p)
+                    folder = stat.S_ISDIR(s.st_mode)
+                    rows.append((None, None, None) if stat.S_ISLNK(s.st_mode) else (None if folder else s.st_size, s.st_mtime_ns, folder))
+                except OSError:
+                    rows.append((None, None, None))
+            now = pd.DataFrame(rows, columns=["size", "mod_time_ns", "is_dir"], index=pdf.index).astype({"size": "Int64", "mod_time_ns": "Int64", "is_dir": "boolean"})
+            yield pd.concat([pdf, now], axis=1)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in paths.schema)
+    return paths.repartition(F.xxhash64("path")).mapInPandas(run, f"{kinds}, size bigint, mod_time_ns bigint, is_dir boolean")
+
+
 def admitted(candidates: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Candidates that a walk would visit."""
     own = F.when(F.col("is_dir"), ~skipped_directory(F.col("path"))).otherwise(~skipped_file(F.col("path")) & (F.coalesce("size", F.lit(0)) <= max_bytes))
@@ -152,6 +197,27 @@ def read_texts(spark: SparkSession, root: str, max_bytes: int = FOREGROUND_BYTES
     return df.select("path", F.col("length").alias("size"), ns.alias("mod_time_ns"), "content").mapInArrow(run, "path string, size bigint, mod_time_ns bigint, content string")
 
 
+def read_listed(paths: DataFrame, extractor: Callable[[str, bytes], str | None] | None = None) -> DataFrame:
+    """(path, size, mod_time_ns, content) of the listed files (path, size, mod_time_ns), read where their rows are; a file that can't be read or extracted is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, path in enumerate(b.column(0).to_pylist()):  # one file at a time is held
+                try:
+                    with open(path, "rb") as f:
+                        data = f.read()
+                    rich = path.rsplit(".", 1)[-1].lower() in RICH_TYPES
+                    content = extractor(path, data) if rich and extractor else data.decode("utf-8", "ignore")
+                except Exception:
+                    continue
+                if content is not None:
+                    row = b.slice(i, 1)
+                    yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.string())], names=["path", "size", "mod_time_ns", "content"])
+
+    spread = paths.select("path", "size", "mod_time_ns").repartition(F.xxhash64("path"))
+    return spread.mapInArrow(run, "path string, size bigint, mod_time_ns bigint, content string")
+
+
 def file_items(texts: DataFrame) -> DataFrame:
     """Items of files: path as identity, base name as title, unix seconds as times."""
     name = text.base_name(F.col("path"))
@@ -174,11 +240,3 @@ def named_items(candidates: DataFrame) -> DataFrame:
         keys.file_item_id(F.col("path")).alias("id"), F.lit("file").alias("source"), name.alias("title"), content.alias("content"), F.col("path").alias("preview"), "path", kind.alias("file_type"),
         F.to_json(F.struct(F.col("path"), F.col("size"), F.when(F.col("is_dir"), "folder").otherwise("file").alias("entry_type"))).alias("metadata_json"), seconds.alias("created_at"), seconds.alias("updated_at"),
     )
-
-
-@F.pandas_udf(T.StringType())
-def folded_path(paths: pd.Series) -> pd.Series:
-    """Paths with "." and ".." steps resolved; for the few inputs that hold any."""
-    import posixpath
-
-    return paths.map(lambda p: None if p is None else posixpath.normpath(p.replace("\\", "/")).lower())
