@@ -86,7 +86,7 @@ MARK = re.compile(r"[.!?。！？；;](?!\d)")
 PUNCTUATION = re.compile(r"[.,;:!?。！？，；：、]")
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 #: Numbers and the Latin words they are part of vary from record to record: times, references, addresses.
-MASK = re.compile(r"[A-Za-z/-]*\d+(?:[A-Za-z/:.,-]*\d+)*")
+MASK = re.compile(r"(?<![A-Za-z/-])[A-Za-z/-]*\d+(?:[A-Za-z/:.,-]*\d+)*")
 
 
 def hash64(text: str) -> int:
