@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from corpusmill import schema
 from corpusmill.functions import chunking, text
 from corpusmill.operators import index, match, query, rank, sync
+from corpusmill.session import settle
 from corpusmill.sources import browser, files
 from corpusmill.streaming import watch
 
@@ -212,11 +213,22 @@ class Engine:
         return fresh.select(*cols).withColumn("row_id", F.lit(None).cast("bigint"))
 
     def _store(self, items: DataFrame, stream: bool = False, gone: DataFrame | None = None) -> None:
-        """Write items, whose earlier chunks are replaced, and leave out what is below the paths `gone`, in one new version."""
-        old = self.chunks().select(*[f.name for f in schema.CHUNK])
+        """Write items, whose earlier chunks are replaced, and leave out what is below the paths `gone`, as one segment of what is new."""
+        fresh = self._fresh(items, stream)
+        if not self.index.current():
+            self.index.write(sync.apply_diff(self.chunks().select(*[f.name for f in schema.CHUNK]), fresh))
+            return
+        old = self.index.chunks().select(*[f.name for f in schema.CHUNK])
+        kept = old if gone is None else sync.delete_subtrees(old, gone)
+        new, dead = sync.diff_rows(kept, fresh, self.index.sums())
         if gone is not None:
-            old = sync.delete_subtrees(old, gone)
-        self.index.write(sync.apply_diff(old, self._fresh(items, stream)))
+            dead = dead.union(old.select("row_id").join(kept.select("row_id"), "row_id", "left_anti"))
+        self.index.update(settle(new), dead)
+
+    def _leave_out(self, kept: DataFrame) -> None:
+        """A version without the rows of the current one that aren't in `kept`."""
+        now = self.index.chunks()
+        self.index.update(now.limit(0), now.select("row_id").join(kept.select("row_id"), "row_id", "left_anti"))
 
     def index_path(self, path: str, max_bytes: int = files.MAX_BYTES, content_only: bool = False, watch_it: bool = True, strict: bool = True) -> dict:
         """Index what is new or changed below `path`; a second call without changes writes nothing. The root of a volume is listed by names, its contents are read by a backfill later."""
@@ -283,7 +295,8 @@ class Engine:
             self.progress.indexed = count.indexed
             texts.unpersist()
         elif gone is not None:
-            self.index.write(sync.delete_subtrees(self.chunks(), gone))
+            if self.index.current():
+                self._leave_out(sync.delete_subtrees(self.chunks(), gone))
             self.records.write(known)
         top = decided.agg(F.max(F.floor(F.col("mod_time_ns") / 1_000_000_000))).first()[0] or 0
         decided.unpersist()
@@ -307,7 +320,7 @@ class Engine:
     def delete_path(self, path: str) -> None:
         """Forget a path and all below it."""
         if self.index.current():
-            self.index.write(sync.delete_subtree(self.chunks(), path))
+            self._leave_out(sync.delete_subtree(self.chunks(), path))
         self.records.write(sync.delete_subtree(self.records.read(), path))
 
     def backfill(self, path: str) -> dict:
@@ -316,7 +329,7 @@ class Engine:
 
     def prune_missing(self, path: str) -> None:
         """Forget files below `path` that are no longer there."""
-        self.index.write(sync.prune_missing(self.chunks(), files.list_files(self.spark, path), path))
+        self._leave_out(sync.prune_missing(self.chunks(), files.list_files(self.spark, path), path))
 
     def sync_browsers(self, histories: dict[str, DataFrame], downloads: dict[str, DataFrame] | None = None, bookmarks: dict | None = None) -> dict[str, int]:
         """Index what the browsers recorded since their watermarks, and move those on."""

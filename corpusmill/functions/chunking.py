@@ -1,7 +1,11 @@
-"""Cutting texts into overlapping pieces inside Catalyst."""
+"""Cutting texts into overlapping pieces, in one Arrow pass that looks at every character once."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +13,10 @@ from corpusmill.functions import text
 
 SIZE, OVERLAP, LOOK_BACK = 1024, 100, 220
 #: Characters after which a text may be cut.
-BOUNDARY = r"\n.!?;:。！？；："
+BOUNDARY = "\n.!?;:。！？；："
+#: White space as in `text.SPACE`.
+BLANK = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BOUNDARY = re.compile(f"[{BOUNDARY}]")
 
 
 def trimmed(content: Column, stream: bool = False) -> Column:
@@ -18,38 +25,43 @@ def trimmed(content: Column, stream: bool = False) -> Column:
     return F.regexp_replace(whole, f"[{text.SPACE}]+$", "") if stream else text.trim_space(whole)
 
 
-def chunk_column(content: Column, size: int = SIZE, overlap: int = OVERLAP, stream: bool = False) -> Column:
-    """array<struct<ordinal int, content string>> of a text.
+def cut(whole: str, size: int = SIZE, overlap: int = OVERLAP, stream: bool = False) -> Iterator[tuple[int, str]]:
+    """(ordinal, piece) of a text.
 
     A piece ends at the last boundary of the stretch before `size`, or at `size`; the next starts `overlap` before that end.
     Blank pieces are left out; they use up an ordinal, unless `stream`, which also keeps leading white space in place.
-    `content` is looked at once per piece: give a column that `trimmed` made, not an expression.
     """
-    whole = content
     reach = min(LOOK_BACK, size - size // 2)
-    step = max(1, size // 2 - overlap, size - reach - overlap)
-    state = "struct<start:int,ordinal:int,done:boolean,out:array<struct<ordinal:int,content:string>>>"
-    first = F.struct(F.lit(0).alias("start"), F.lit(0).alias("ordinal"), (F.length(whole) == 0).alias("done"), F.array().alias("out")).cast(state)
-
-    def advance(s: Column, _: Column) -> Column:
-        left = F.length(whole) - s["start"]
-        window = F.substring(whole, s["start"] + 1, F.lit(size))
-        tail = F.substring(window, F.lit(size - reach + 1), F.lit(reach))
-        to_boundary = F.length(F.regexp_extract(tail, f"(?s)^.*[{BOUNDARY}]", 0))
-        cut = F.when(left <= size, left).when(to_boundary > 0, size - reach + to_boundary).otherwise(F.lit(size))
-        piece = text.trim_space(F.substring(window, F.lit(1), cut))
-        blank = F.length(piece) == 0
-        out = F.when(blank, s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["ordinal"].alias("ordinal"), piece.alias("content")))))
-        moved = F.struct(
-            (s["start"] + cut - overlap).cast("int").alias("start"),
-            (s["ordinal"] + (F.when(blank, 0).otherwise(1) if stream else F.lit(1))).cast("int").alias("ordinal"),
-            (left <= cut).alias("done"),
-            out.alias("out"),
-        ).cast(state)
-        return F.when(s["done"], s).otherwise(moved)
-
-    rounds = F.sequence(F.lit(0), F.ceil(F.length(whole) / step).cast("int"))
-    return F.aggregate(rounds, first, advance, lambda s: s["out"])
+    start, ordinal = 0, 0
+    while start < len(whole):
+        end = start + size
+        if end < len(whole):
+            last = max((m.end() for m in _BOUNDARY.finditer(whole, end - reach, end)), default=end)
+            end = last
+        piece = whole[start:end].strip(BLANK)
+        if piece:
+            yield ordinal, piece
+        ordinal += bool(piece) or not stream
+        if end >= len(whole):
+            return
+        start = max(end - overlap, start + 1)
+
+
+def pieces(whole: Column, stream: bool = False) -> Column:
+    """array<struct<ordinal int, content string>> of a trimmed text."""
+
+    @F.arrow_udf("array<struct<ordinal:int,content:string>>")
+    def run(texts: pa.Array) -> pa.Array:
+        offsets, ordinals, contents = [0], [], []
+        for t in texts.to_pylist():
+            for n, c in cut(t or "", stream=stream):
+                ordinals.append(n)
+                contents.append(c)
+            offsets.append(len(ordinals))
+        flat = pa.StructArray.from_arrays([pa.array(ordinals, pa.int32()), pa.array(contents, pa.string())], names=["ordinal", "content"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+
+    return run(whole)
 
 
 def split_items(items, key: str = "id", content: str = "content", stream: bool = False):
@@ -57,7 +69,7 @@ def split_items(items, key: str = "id", content: str = "content", stream: bool =
     from corpusmill.functions import keys
 
     rows = items.withColumn("__whole", trimmed(F.col(content), stream)).drop(content)
-    rows = rows.withColumn("__piece", F.explode(chunk_column(F.col("__whole"), stream=stream))).drop("__whole")
+    rows = rows.withColumn("__piece", F.explode(pieces(F.col("__whole"), stream))).drop("__whole")
     rows = rows.withColumn("ordinal", F.col("__piece.ordinal")).withColumn("content", F.col("__piece.content")).drop("__piece")
     rows = rows.withColumn("hash", keys.text_hash(F.col("content"))).withColumn("preview", text.preview(F.col("content")))
     return rows.withColumn("chunk_id", keys.chunk_id(F.col("source"), F.col(key).cast("string"), F.col("ordinal"), F.col("hash")))

@@ -63,17 +63,18 @@ def chunk_diff(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return old.join(new, key, "full").select(*key, action.alias("action"), F.col("o.row_id").alias("row_id"))
 
 
-def apply_diff(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The chunk table after `fresh` replaced its items; new rows are numbered after the greatest of their shard."""
+def diff_rows(stored: DataFrame, fresh: DataFrame, top: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new, gone): the rows to write after `fresh` replaced its items, and the ids (row_id) of the rows that go; new rows are numbered after the greatest of their shard (`top`: shard, top)."""
     key = ["source", "item_id", "ordinal"]
     diff = chunk_diff(stored, fresh)
     gone = diff.where("action in ('replace', 'delete')").select(F.col("row_id"))
     touched = fresh.select("source", "item_id").distinct()
     repeated = stored.join(touched, ["source", "item_id"], "left_semi").join(diff.where("row_id is not null").select("row_id"), "row_id", "left_anti").select("row_id")
-    kept = stored.join(gone.union(repeated), "row_id", "left_anti")
     written = fresh.drop("row_id").join(diff.where("action in ('insert', 'replace')").select(*key, "action", "row_id"), key)
     written = written.withColumn("__shard", keys.shard(F.col("source"), F.col("item_id")))
-    top = stored.groupBy(keys.rowid_shard(F.col("row_id")).alias("__shard")).agg(F.max(keys.rowid_local(F.col("row_id"))).alias("__top"))
+    if top is None:
+        top = stored.groupBy(keys.rowid_shard(F.col("row_id")).alias("shard")).agg(F.max(keys.rowid_local(F.col("row_id"))).alias("top"))
+    top = top.select(F.col("shard").alias("__shard"), F.col("top").alias("__top"))
     # Numbers need only be unique: hash buckets of a shard are numbered apart and interleaved, so no task holds a shard.
     fresh_rows = written.where("action = 'insert'").withColumn("__b", F.pmod(F.xxhash64(*key), F.lit(256)).cast("bigint"))
     w = Window.partitionBy("__shard", "__b").orderBy(*key)
@@ -81,7 +82,13 @@ def apply_diff(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     local = F.coalesce("__top", F.lit(0)) + (F.col("__n") - 1) * 256 + F.col("__b") + 1
     numbered = numbered.withColumn("row_id", keys.global_rowid(F.col("__shard"), local)).drop("__n", "__b", "__top")
     new = numbered.unionByName(written.where("action = 'replace'")).drop("action", "__shard")
-    return kept.unionByName(new.select(*kept.columns))
+    return new.select(*stored.columns), gone.union(repeated)
+
+
+def apply_diff(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The chunk table after `fresh` replaced its items."""
+    new, gone = diff_rows(stored, fresh)
+    return stored.join(gone, "row_id", "left_anti").select(*stored.columns).unionByName(new)
 
 
 def upsert_records(stored: DataFrame, fresh: DataFrame) -> DataFrame:

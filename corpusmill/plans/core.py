@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.engine import SearchRequest, candidates, results, stored_candidates
 from corpusmill.functions import chunking, keys, text
-from corpusmill.operators import index, match, query, rank, sync
+from corpusmill.operators import batch, index, match, query, rank, sync
 from corpusmill.plans import sql as Q
 from corpusmill.session import shared_dir, table, texts
 from corpusmill.sources import browser, files
@@ -310,6 +310,13 @@ def search_indexed(spark, base):
     return results(stored_candidates(_stored(spark, base), r), r, NOW).select("rank", "row_id", "source", "title", F.round("score", 5).alias("score"))
 
 
+@query_of("search_requests")
+def search_requests(spark, base):
+    """Every request whose number is divisible by 20, against all rows."""
+    asked = table(spark, base, "search_requests").where("request_id % 20 = 0")
+    return batch.search_many(_stored(spark, base), asked).withColumn("score", F.round("score", 6))
+
+
 @query_of("paginate", f"WITH {_FULL} SELECT rank::INT AS rank, row_id FROM (SELECT *, row_number() OVER (ORDER BY total, updated_at DESC NULLS LAST, row_id) rank FROM dd WHERE NOT {Q.NOISY}) WHERE rank > 20 AND rank <= 50")
 def paginate(spark, base):
     r = SearchRequest("plan", limit=30, offset=20)

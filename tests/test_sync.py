@@ -123,3 +123,13 @@ def test_change_events(spark, tmp_path):
     q.awaitTermination()
     assert {(r.path, r.ops) for r in spark.table("ticks").collect()} <= {("/a", 5), ("/a", 2), ("/b", 16)}
     spark.streams.removeListener(listener)
+
+
+def test_long_texts_are_cut_in_one_pass():
+    import time
+
+    whole = "A word and another one. " * 1_000_000
+    began = time.time()
+    parts = list(chunking.cut(whole))
+    assert time.time() - began < 20 and all(len(p) <= chunking.SIZE for _, p in parts)
+    assert [n for n, _ in parts] == list(range(len(parts))) and whole.rstrip().endswith(parts[-1][1])
