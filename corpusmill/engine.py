@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill import schema
-from corpusmill.functions import chunking, text
+from corpusmill.functions import chunking, keys, text
 from corpusmill.operators import index, match, query, rank, sync
 from corpusmill.session import settle
 from corpusmill.sources import browser, files
@@ -212,9 +212,13 @@ class Engine:
         cols = [f.name for f in schema.CHUNK if f.name != "row_id"]
         return fresh.select(*cols).withColumn("row_id", F.lit(None).cast("bigint"))
 
-    def _store(self, items: DataFrame, stream: bool = False, gone: DataFrame | None = None) -> None:
-        """Write items, whose earlier chunks are replaced, and leave out what is below the paths `gone`, as one segment of what is new."""
-        fresh = self._fresh(items, stream)
+    def _store(self, items: DataFrame, stream: bool = False, gone: DataFrame | None = None) -> DataFrame:
+        """Write items, whose earlier chunks are replaced, and leave out what is below the paths `gone`, as one segment of what is new; gives their chunks."""
+        fresh = settle(self._fresh(items, stream))
+        self._replace(fresh, gone)
+        return fresh
+
+    def _replace(self, fresh: DataFrame, gone: DataFrame | None) -> None:
         if not self.index.current():
             self.index.write(sync.apply_diff(self.chunks().select(*[f.name for f in schema.CHUNK]), fresh))
             return
@@ -287,10 +291,12 @@ class Engine:
             named = files.named_items(todo.join(texts.select("path"), "path", "left_anti"))
             read = texts.select("path").withColumn("__read", F.lit(True))
             self._phase("finalizing")
-            self._store(files.file_items(texts).unionByName(named), stream=True, gone=gone)
+            fresh = self._store(files.file_items(texts).unionByName(named), stream=True, gone=gone)
             kind = F.when(F.col("__read"), F.lit("content:")).otherwise(F.when(F.col("kind") == "content:", F.lit("content:")).otherwise(F.lit("path:")))
-            stamp = F.sha1(F.concat_ws("|", "path", F.col("size").cast("string"), F.col("mod_time_ns").cast("string")))
-            done = todo.join(read, "path", "left").select("path", "size", "mod_time_ns", F.concat(kind, stamp).alias("content_hash"), F.lit(int(time.time())).cast("bigint").alias("updated_at"))
+            # A file's fingerprint is that of the hashes of its chunks, in order.
+            prints = fresh.groupBy("path").agg(F.substring_index(keys.content_fingerprint(F.col("ordinal"), F.col("hash")), ":", -1).alias("__print"))
+            done = todo.join(read, "path", "left").join(prints, "path", "left")
+            done = done.select("path", "size", "mod_time_ns", F.concat(kind, F.coalesce("__print", F.sha1(F.lit("")))).alias("content_hash"), F.lit(int(time.time())).cast("bigint").alias("updated_at"))
             self.records.write(sync.upsert_records(known, done))
             self.progress.indexed = count.indexed
             texts.unpersist()

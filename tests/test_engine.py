@@ -133,6 +133,20 @@ def test_indexing_and_sync_jobs_carry_their_tags(spark, tmp_path, monkeypatch):
     assert [{t.rsplit("-", 1)[1] for t in tags} for tags in seen] == [{"index"}, {"sync"}, {"sync"}] and not spark.getTags()
 
 
+def test_fingerprints_are_those_of_the_chunks(spark, tmp_path):
+    import hashlib
+
+    d = tmp_path / "two"
+    d.mkdir()
+    (d / "a.txt").write_text("the river <b>runs</b>")
+    (d / "b.bin").write_bytes(b"x")
+    e = Engine(spark, str(tmp_path / "state"))
+    e.index_path(str(d))
+    hashes = {r.path: r.hash for r in e.chunks().collect()}
+    want = {p: kind + hashlib.sha1(hashes[p].encode()).hexdigest() for p, kind in ((str(d / "a.txt"), "content:"), (str(d / "b.bin"), "path:"))}
+    assert {r.path: r.content_hash for r in e.records.read().collect()} == want and hashes[str(d / "a.txt")] == hashlib.sha256(b"the river runs").hexdigest()
+
+
 def test_a_page_at_the_limit_tells_of_more(spark, tmp_path):
     d = tmp_path / "many"
     d.mkdir()
