@@ -54,9 +54,9 @@ def words_of(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     wanted = terms.where("kind != 'gram'").select("kind", "term").distinct()
     exact = wanted.where("kind = 'word'").join(vocabulary, F.col("term") == F.col("token")).select("kind", "term", "token")
     heads = wanted.where("kind = 'prefix'").withColumn("n", F.length("term"))
-    lengths = heads.select("n").distinct()
-    # One row of a word for each length of a prefix that it reaches; there are as many lengths as words have letters.
-    cut = vocabulary.join(F.broadcast(lengths.limit(256)), F.length("token") >= F.col("n")).select("token", "n", F.left("token", F.col("n")).alias("head"))
+    # A row of a word for each length of a prefix that it reaches; the lengths are one small array, as many as search strings have letters.
+    lengths = heads.agg(F.collect_set("n")).scalar()
+    cut = vocabulary.withColumn("lengths", lengths).select("token", F.explode(F.filter("lengths", lambda n: n <= F.length("token"))).alias("n")).withColumn("head", F.left("token", F.col("n")))
     return exact.unionByName(heads.join(cut, (heads["n"] == cut["n"]) & (heads["term"] == cut["head"])).select("kind", "term", "token"))
 
 
