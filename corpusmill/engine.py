@@ -134,6 +134,10 @@ class Engine:
         self._indexing = threading.RLock()  # one run at a time
         self._running: set[str] = set()
         self._backfills: list[threading.Thread] = []
+        #: Counters of the streams that watch.
+        self.streams = watch.Progress()
+        self._listening = False
+        self._closed = threading.Event()
         self._tag = f"corpusmill-{uuid.uuid4().hex[:8]}"
 
     # -- information
@@ -415,6 +419,9 @@ class Engine:
             if not batch.isEmpty():
                 self.apply_changes(batch.select("path", "action"))
 
+        if not self._listening:
+            self.spark.streams.addListener(self.streams)
+            self._listening = True
         return watch.watch(events, apply, checkpoint, once=once)
 
     def pause_content_index(self) -> dict:
@@ -439,6 +446,36 @@ class Engine:
             self.index.write(self.index.chunks())
         return {"ok": True}
 
+    def optimize_every(self, seconds: float = 1800.0) -> threading.Thread:
+        """Rewrite the index from time to time, when it has more than one segment and nothing else is being indexed."""
+
+        def run() -> None:
+            while not self._closed.wait(seconds):
+                if len(self.index.manifest()["segments"]) > 1 and self._indexing.acquire(blocking=False):
+                    try:
+                        self.optimize()
+                    finally:
+                        self._indexing.release()
+
+        t = threading.Thread(target=run, daemon=True)
+        t.start()
+        return t
+
+    def warm_up(self) -> int:
+        """Read the counts and the vocabulary's first pages, so that the first search finds them cached; gives the number of chunks."""
+        if not self.index.current():
+            return 0
+        self.index.table("postings").where(F.col("token") == "").count()
+        return self.index.sums().agg(F.sum("n")).first()[0] or 0
+
+    def close(self) -> None:
+        """Stop what runs beside calls."""
+        self._closed.set()
+        self.cancel_index()
+        if self._listening:
+            self.spark.streams.removeListener(self.streams)
+            self._listening = False
+
     # -- calls by message
 
     def call(self, line: str) -> str | None:

@@ -75,9 +75,21 @@ def slashed(c: Column) -> Column:
     return F.replace(c, F.lit("\\"), F.lit("/"))
 
 
+def _stepped(p: Column) -> Column:
+    """A slashed path with ".." steps resolved; those above a root or the beginning stay or go as they do in a shell."""
+
+    def step(done: Column, part: Column) -> Column:
+        last = F.element_at(done, -1)
+        inner = (F.size(done) > 0) & ~last.isin("", "..")
+        return F.when((part == "..") & inner, F.slice(done, 1, F.size(done) - 1)).when((part == "..") & (F.size(done) > 0) & (last == ""), done).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def normal_path(c: Column) -> Column:
-    """Lower-cased path with slashes; doubled slashes and inner "." steps fold, a trailing slash goes."""
+    """Lower-cased path with slashes; doubled slashes and inner "." and ".." steps fold, a trailing slash goes."""
     p = F.regexp_replace(F.regexp_replace(slashed(F.coalesce(c, F.lit(""))), "/(?:\\./)+", "/"), "(?<=.)/+", "/")
+    p = F.when(p.rlike("(?:^|/)\\.\\.(?:/|$)"), _stepped(p)).otherwise(p)
     return lower(F.regexp_replace(p, "(?<=.)/$", ""))
 
 

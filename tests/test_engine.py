@@ -68,10 +68,24 @@ def test_watch_stream_applies_changes(spark, tmp_path, tree):
     (feed / "1.json").write_text("\n".join(json.dumps({"ts": "2031-01-01 00:00:00", "path": str(tree / n), "op": o}) for n, o in (("note.txt", 1), ("note.txt", 2))))
     events = spark.readStream.schema("ts timestamp, path string, op int").json(str(feed))
     e.watch(events, str(tmp_path / "cp"), once=True).awaitTermination()
-    assert titles(e.search(SearchRequest("needle"))) == ["note.txt"]
+    assert titles(e.search(SearchRequest("needle"))) == ["note.txt"] and e.warm_up() == 1
     (feed / "2.json").write_text(json.dumps({"ts": "2031-01-01 00:00:02", "path": str(tree / "note.txt"), "op": 4}))
     e.watch(events, str(tmp_path / "cp"), once=True).awaitTermination()
     assert titles(e.search(SearchRequest("needle"))) == []
+    for _ in range(50):  # events of streams come a little later
+        if e.streams.rows >= 3:
+            break
+        time.sleep(0.1)
+    assert e.streams.rows >= 3 and e.streams.phase == "idle"
+    assert len(e.index.manifest()["segments"]) > 1
+    t = e.optimize_every(0.1)
+    for _ in range(200):
+        if len(e.index.manifest()["segments"]) == 1:
+            break
+        time.sleep(0.1)
+    e.close()
+    t.join(30)
+    assert len(e.index.manifest()["segments"]) == 1 and not t.is_alive()
 
 
 def test_browsers(spark, tmp_path):

@@ -83,6 +83,12 @@ def test_rewrite():
     assert query.cjk_query("备份方 x 案") == ["备份", "份方", "案"]
 
 
+def test_paths_with_steps(spark):
+    paths = {"/a/b/../c/./D": "/a/c/d", "C:\\A\\..\\b": "c:/b", "/../a": "/a", "../a/..": "..", "/a//b/": "/a/b", "a/..b/c..": "a/..b/c..", "": "", None: ""}
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: r.n for r in df.select("p", text.normal_path(F.col("p")).alias("n")).collect()} == paths
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("a <b>c</b>\n\td\x0be<>  f", "x" * 221, "C:\\A\\b.TAR.gz", "中文字 a 国")], "a string, b string, p string, g string")
     r = df.select(text.clean(F.col("a")), text.preview(F.col("b")), text.base_name(F.col("p")), text.extension(F.col("p")), text.normal_path(F.col("p")), text.cjk_grams(F.col("g"))).first()
